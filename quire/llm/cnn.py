@@ -29,6 +29,7 @@ EMBED, FILTERS = 8, 24
 #: Bounds of the training sample.
 PER_CLASS, TRAIN_BYTES = 1200, 6000
 EPOCHS, BATCH, RATE = 8, 32, 4e-3
+GOOD = 0.7
 SLICE_BYTES = 4 << 20
 #: Chunks whose filters are computed at once.
 AT_ONCE = 512
@@ -90,12 +91,12 @@ class ByteNet:
         return 1 / (1 + np.exp(-(self.features(texts) @ self.out + self.bias).astype(np.float64)))
 
     def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 9) -> "ByteNet":
-        """Adam on the log loss, both labels weighing the same."""
+        """Adam on the log loss; label 1 weighs GOOD of the whole, whatever the sample's shares."""
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.5
             return self
         share = labels.mean()
-        weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+        weight = np.where(labels == 1, GOOD / share, (1 - GOOD) / (1 - share))
         r = np.random.default_rng(seed)
         params = [self.embed, self.w, self.b, self.out, self.bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]

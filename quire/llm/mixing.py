@@ -1,12 +1,13 @@
 """op3: mixing sources to target weights by pivotal dependent rounding, in SQL functions only.
 
 A source's target over its size gives the copies each of its documents should have on average: a
-whole part, and a fraction p that must become 0 or 1. Items of one source are dealt into groups of
-about GROUP by a hash. Within a group an ordered fold keeps one open item and meets it with the
-next: mass (p times the item's words) moves between the two, in either direction with the
+whole part, and a fraction p that must become 0 or 1. Items of one source and one size class (powers of
+two) are dealt into groups of about GROUP by a hash. Within a group a fold, largest item first, keeps
+one open item and meets it with the next: mass (p times the item's words) moves between the two, in either direction with the
 probabilities that keep both expectations, until one of them is 0 or 1. So the group's expected
 words stay exact but for the one item left open; open items go up a tree of such groups, one level
-a round, until a source has a single one, which is rounded by its own probability.
+a round, until a size class has a single one; those, 64 at most, are folded per source from the
+largest down, so that a small one is left, which is rounded by its own probability.
 
 Every random number is a hash of ids, sizes and the level, so reruns agree. Sources weigh by their
 place in code point order, nulls last, from WEIGHTS; targets stop at MOST times the size of the
@@ -71,17 +72,17 @@ def targets(sized: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     return per.select("source", "source_size", "items", target.alias("target"))
 
 
-def _level(items: DataFrame, groups, level: int, tag: str) -> DataFrame:
-    """Fold each group of items (source, groups, key, w, p, h): `done` results and the open item `o`."""
-    dealt = items.withColumn("g", F.pmod(F.xxhash64("h", F.lit(SEED + level)), groups))
-    listed = dealt.groupBy("source", "g").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("h", F.lit(-SEED - level)).alias("at"), "key", "w", "p", "h"))).alias("xs"))
+def _level(items: DataFrame, by: list[str], level: int) -> DataFrame:
+    """Fold each group of items (source, key, w, p, h), largest first: `done` results and the open item `o`."""
+    at = F.xxhash64("h", F.lit(-SEED - level))
+    listed = items.groupBy("source", *by).agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("big"), at.alias("at"), "key", "w", "p", "h"))).alias("xs"))
     listed = listed.withColumn("xs", F.expr("transform(xs, x -> named_struct('key', x.key, 'w', x.w, 'h', x.h, 'p', x.p, 'u', (x.at & 4503599627370495) / 4503599627370496D))"))
-    item = "struct<key:struct<doc_id:bigint,source:string,size:bigint>,w:double,h:bigint,p:double>"
-    done = "array<struct<key:struct<doc_id:bigint,source:string,size:bigint>,one:boolean>>"
-    zero = f"named_struct('o', cast(null AS {item}), 'done', cast(array() AS {done}))"
+    key = "struct<doc_id:bigint,source:string,size:bigint>"
+    done = f"array<struct<key:{key},one:boolean>>"
+    zero = f"named_struct('o', cast(null AS struct<key:{key},w:double,h:bigint,p:double>), 'done', cast(array() AS {done}))"
     step = _STEP.replace("array()", f"cast(array() AS {done})")
     folded = listed.select("source", F.expr(f"aggregate(xs, {zero}, {step})").alias("r"))
-    return stored(folded.select("source", "r.o", "r.done"), tag)
+    return stored(folded.select("source", "r.o", "r.done"), f"mix-level{level}")
 
 
 def copies(sized: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = GROUP) -> DataFrame:
@@ -96,18 +97,23 @@ def copies(sized: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = G
 
     key = F.struct("doc_id", "source", "size")
     open_ = joined.filter("p > 0 AND size > 0").select("source", key.alias("key"), (F.col("size") * F.col("n")).cast("double").alias("w"), "p", F.xxhash64(F.lit(SEED), "doc_id", "source", "size").alias("h"))
-    settled, level = None, 0
+    size_class = F.floor(F.log2("w"))
+    settled, level, final = None, 0, False
     while True:
-        left = open_.groupBy("source").agg(F.count("*").alias("_n")).withColumnRenamed("source", "_s")
-        groups = F.ceil(F.col("_n") / group)
-        dealt = open_.join(left, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        folded = _level(dealt, groups, level, f"mix-level{level}")
+        if final:
+            folded = _level(open_, [], level)
+        else:
+            left = open_.groupBy(F.col("source").alias("_s"), size_class.alias("_c")).agg(F.ceil(F.count("*") / group).alias("_n"))
+            dealt = open_.join(left, F.col("source").eqNullSafe(F.col("_s")) & (size_class == F.col("_c")))
+            dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("h", F.lit(SEED + level)), F.col("_n")))
+            folded = _level(dealt, ["_c", "_g"], level)
         done = folded.select(F.explode("done").alias("d")).select("d.key", "d.one")
         settled = done if settled is None else settled.union(done)
         open_ = folded.filter("o IS NOT NULL").select("source", F.col("o.key").alias("key"), F.col("o.w").alias("w"), F.col("o.p").alias("p"), F.col("o.h").alias("h"))
         level += 1
-        if open_.groupBy("source").count().filter("count > 1").isEmpty():
+        if final:
             break
+        final = open_.groupBy("source", size_class).count().filter("count > 1").isEmpty()
     last = open_.select("key", ((F.xxhash64("h", F.lit(SEED)).bitwiseAND(4503599627370495)) / 4503599627370496 < F.col("p")).alias("one"))
     settled = settled.union(last).select(F.col("key.doc_id").alias("_d"), F.col("key.source").alias("_s"), F.col("key.size").alias("_z"), "one")
     out = joined.join(settled, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left")
