@@ -1,13 +1,14 @@
 """op3: mixing sources to target weights by pivotal dependent rounding, in SQL functions only.
 
 A source's target over its size gives the copies each of its documents should have on average: a
-whole part, and a fraction p that must become 0 or 1. Items of one source and one size class (powers of
-two) are dealt into groups of about GROUP by a hash. Within a group a fold, largest item first, keeps
+whole part, and a fraction p that must become 0 or 1. Items of one source are put into bands of like size
+(classes are powers of two; neighbouring ones are joined up to GROUP items), and each band is dealt
+into groups of about GROUP by a hash. Within a group a fold, largest item first, keeps
 one open item and meets it with the next: mass (p times the item's words) moves between the two, in either direction with the
 probabilities that keep both expectations, until one of them is 0 or 1. So the group's expected
 words stay exact but for the one item left open; open items go up a tree of such groups, one level
-a round, until a size class has a single one; those, 64 at most, are folded per source from the
-largest down, so that a small one is left, which is rounded by its own probability.
+a round, until a source has at most GROUP, which one last fold brings down to one, as a rule a small
+one since it comes last. It is rounded by its own probability.
 
 Every random number is a hash of ids, sizes and the level, so reruns agree. Sources weigh by their
 place in code point order, nulls last, from WEIGHTS; targets stop at MOST times the size of the
@@ -103,17 +104,19 @@ def copies(sized: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = G
         if final:
             folded = _level(open_, [], level)
         else:
-            left = open_.groupBy(F.col("source").alias("_s"), size_class.alias("_c")).agg(F.ceil(F.count("*") / group).alias("_n"))
+            left = open_.groupBy(F.col("source").alias("_s"), size_class.alias("_c")).agg(F.count("*").alias("_n"))
+            larger = F.sum("_n").over(Window.partitionBy("_s").orderBy(F.desc("_c"))) - F.col("_n")
+            left = left.withColumn("_b", F.floor(larger / group)).withColumn("_n", F.ceil(F.sum("_n").over(Window.partitionBy("_s", "_b")) / group))
             dealt = open_.join(left, F.col("source").eqNullSafe(F.col("_s")) & (size_class == F.col("_c")))
             dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("h", F.lit(SEED + level)), F.col("_n")))
-            folded = _level(dealt, ["_c", "_g"], level)
+            folded = _level(dealt, ["_b", "_g"], level)
         done = folded.select(F.explode("done").alias("d")).select("d.key", "d.one")
         settled = done if settled is None else settled.union(done)
         open_ = folded.filter("o IS NOT NULL").select("source", F.col("o.key").alias("key"), F.col("o.w").alias("w"), F.col("o.p").alias("p"), F.col("o.h").alias("h"))
         level += 1
         if final:
             break
-        final = open_.groupBy("source", size_class).count().filter("count > 1").isEmpty()
+        final = open_.groupBy("source").count().filter(F.col("count") > group).isEmpty()
     last = open_.select("key", ((F.xxhash64("h", F.lit(SEED)).bitwiseAND(4503599627370495)) / 4503599627370496 < F.col("p")).alias("one"))
     settled = settled.union(last).select(F.col("key.doc_id").alias("_d"), F.col("key.source").alias("_s"), F.col("key.size").alias("_z"), "one")
     out = joined.join(settled, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")), "left")
