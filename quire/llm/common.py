@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The words of every contract here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Lets Spark delete a write's shuffle files when it is done: nothing reads them after.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,12 @@ def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

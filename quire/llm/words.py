@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, id_mod, rows, stored, text_bytes
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 HEAD, CLASSES, SWEEPS = 1024, 48, 8
 #: No word holds a space, so this stands for the end token, which is also what precedes a text.
 END = b" "
@@ -156,7 +156,8 @@ def _head_bigrams(head: list[bytes]):
     return run
 
 
-SEEN = np.dtype([("ctx", "u1"), ("n", "<u4")])
+#: A context and how often it was seen; more than 255 times take several entries.
+SEEN = np.dtype([("ctx", "u1"), ("n", "u1")])
 
 
 def _tail_contexts(head: list[bytes], of: np.ndarray, classes: int):
@@ -174,6 +175,11 @@ def _tail_contexts(head: list[bytes], of: np.ndarray, classes: int):
                 before = (cls[cur] >= 0) & (cls[prev] < 0)
                 code = np.concatenate([cur[after].astype(np.int64) * 2 * classes + cls[prev[after]], prev[before].astype(np.int64) * 2 * classes + classes + cls[cur[before]]])
                 code, n = np.unique(code, return_counts=True)
+                times = (n - 1) // 255 + 1
+                last = np.cumsum(times) - 1
+                code, n = np.repeat(code, times), n - 255 * (times - 1)
+                n, rest = np.full(len(code), 255), n
+                n[last] = rest
                 seen = np.empty(len(code), SEEN)
                 seen["ctx"], seen["n"] = code % (2 * classes), n
                 tail = np.flatnonzero((cls < 0) & (counts > 0))
@@ -290,13 +296,12 @@ def class_ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = tail.mapInArrow(_place(affinity, mass), "word binary, n bigint, cls int")
     spark = docs.sparkSession
     first = spark.createDataFrame([(bytearray(w), n, int(c)) for (w, n), c in zip(top, of)], "word binary, n bigint, cls int")
-    model = first.unionByName(placed)
+    model = stored(first.unionByName(placed), "lm-model")
     back = listed.select("block", "i", "word").join(model, "word", "left")
     back = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(classes)).alias("cls")))).alias("x"))
     back = back.select("block", F.col("x.n").alias("n"), F.col("x.cls").alias("cls"))
     ready = stored(blocks.select("block", "ids", "held", "lens", "tokens").join(back, "block"), "lm-ready", compression="zstd")
-
-    drop_stored(blocks)
+    drop_stored(blocks, model)
     every = classes + 1
     counts = np.zeros((every + 1, every + 1))
     for r in ready.mapInArrow(_transitions(every), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
