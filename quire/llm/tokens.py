@@ -6,7 +6,8 @@ split at safe boundaries, where the vocabulary's pre-tokenizer always splits:
 
 * counting (white space is dropped by the vocabulary): at ASCII white space;
 * counting with SentencePiece, whose pieces never cross a space followed by a word: before such spaces;
-* ids of byte-level BPE: before a lone space that precedes a word; other texts go whole.
+* ids of byte-level BPE: before lone spaces and line breaks; a text where white space stands beside white
+  space is cut by the vocabulary's own pattern, and one that holds a special string goes whole.
 
 Defined cases: null texts are empty: no tokens (counting), the end id alone (files). Null doc_ids
 come first in a file's order; rows with one doc_id follow each other by their ids. Repeated rows are
@@ -16,8 +17,9 @@ kept each. An empty table gives no rows and a store without blocks. Other column
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BESIDE_SPACE
+from .bpe import PIECES
 from .common import by_bytes, drop_stored, rows, stored, text_bytes
 
 #: Words remembered in the newer half of a cache; a full half replaces the older one.
@@ -51,8 +53,7 @@ class Remembered:
             again = missing & self.old.keys()
             for w in again:
                 self.new[w] = self.old[w]
-            unknown = sorted(missing - again)
-            for part in balanced(unknown):
+            for part in balanced(list(missing - again)):
                 self.new.update(zip(part, self.ask(part)))
         return self.new
 
@@ -86,7 +87,38 @@ def _drops_white_space(path: str) -> bool:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     steps = [spec["pre_tokenizer"], *((spec["pre_tokenizer"] or {}).get("pretokenizers") or [])]
-    return any(s and s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s" in str(s["pattern"]) for s in steps)
+    return any(s and s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s" in s["pattern"].get("Regex", "") for s in steps)
+
+
+#: Words put into one text for the library.
+TOGETHER = 2000
+
+
+def _asked(t, special: list[str], words: list[str], alone) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Ids of each ` word`: the order in which the words were asked, their ids joined, and each one's number of ids.
+
+    Plain words go to the library in a few texts that hold many each; tokens are told apart by where they start.
+    Words that hold white space or special strings go alone, spelt by alone(i).
+    """
+    plain = [i for i, w in enumerate(words) if w.isalnum() or w and not _SPACE(w) and not any(x in w for x in special)]
+    kept = set(plain)
+    odd = [i for i in range(len(words)) if i not in kept]
+    ids, counts = [], []
+    groups = [[words[i] for i in plain[k : k + TOGETHER]] for k in range(0, len(plain), TOGETHER)]
+    for group, e in zip(groups, t.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+        size = np.fromiter(map(len, group), np.int64, len(group)) + 1
+        start = np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
+        counts.append(np.bincount(np.searchsorted(np.cumsum(size) - size, start, "right") - 1, minlength=len(group)))
+        ids.append(np.array(e.ids, np.int64))
+    for e in t.encode_batch_fast([alone(i) for i in odd], add_special_tokens=False):
+        counts.append(np.array([len(e)]))
+        ids.append(np.array(e.ids, np.int64))
+    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+    return plain + odd, join(ids), join(counts)
+
+
+def _special(t) -> list[str]:
+    return [x.content for x in t.get_added_tokens_decoder().values()]
 
 
 _loaded: dict[str, tuple] = {}
@@ -102,8 +134,19 @@ def _counter(path: str):
             _loaded[path] = (lambda b: [b], Remembered(lambda words: map(len, sp.encode([w.decode() for w in words], num_threads=1))))
         else:
             t = _library(path)
-            split = bytes.split if _drops_white_space(path) else lambda b: [b]
-            _loaded[path] = (split, Remembered(lambda words: map(len, t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False))))
+            special = _special(t)
+
+            def ask(words):
+                words = [w.decode() for w in words]
+                order, _, counts = _asked(t, special, words, words.__getitem__)
+                out = np.empty(len(words), np.int64)
+                out[order] = counts
+                return out.tolist()
+
+            if _drops_white_space(path):
+                _loaded[path] = (bytes.split, Remembered(ask))
+            else:
+                _loaded[path] = (lambda b: [b], Remembered(lambda texts: map(len, t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False))))
     return _loaded[path]
 
 
@@ -117,7 +160,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             for part in by_bytes(batch, "text", SLICE_BYTES):
                 texts = rows(part, "text")
                 words = [split(t) for t in texts]
-                known = remembered(w for ws in words for w in ws)
+                known = remembered(chain.from_iterable(words))
                 n = [sum(map(known.__getitem__, ws)) for ws in words]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -178,32 +221,52 @@ _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
+    """(id type, Remembered ids, special strings, pre-tokenizer) of a byte-level BPE file; one a worker process."""
+    import regex
+
     if path not in _encoders:
         t = _library(path)
         wide = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
-        ask = lambda words: [np.array(e.ids, wide).tobytes() for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        _encoders[path] = (t, wide, Remembered(ask), [s.content for s in t.get_added_tokens_decoder().values()])
+        special = _special(t)
+
+        def ask(keys):
+            order, ids, counts = _asked(t, special, [k.decode() for k in keys], lambda i: _spelt(keys[i]))
+            raw, to = ids.astype(wide).tobytes(), np.cumsum(counts) * np.dtype(wide).itemsize
+            out = [b""] * len(keys)
+            for i, a, b in zip(order, [0, *to.tolist()], to.tolist()):
+                out[i] = raw[a:b]
+            return out
+
+        _encoders[path] = (wide, Remembered(ask), [x.encode() for x in special], regex.compile(PIECES).findall)
     return _encoders[path]
 
 
-def _words(text: bytes, special: list[str]) -> list[bytes]:
-    """A text cut before its lone spaces, and around lone line breaks between words."""
+_SPACE = re.compile(r"\s").search
+_CROWDED = re.compile(rb"[ \t\n\v\f\r]{2}").search
+_CLOSED = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n]|\Z)").sub
+_WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]").search
+
+
+def _words(text: bytes, special: list[bytes], pieces) -> list[bytes]:
+    """Keys of the parts of a text, whose encodings follow each other in the text's own.
+
+    A plain key stands for a space and the word; one that begins with a line break, for itself; with a carriage
+    return, for what follows that. The latter two cannot be plain, since no white space stands beside another.
+    """
     if not text:
         return []
-    words = text.split(b" ")
-    s = text.decode()
-    if not all(words) or BESIDE_SPACE(s) or any(x in s for x in special):
-        return [text]
-    words = [words[0], *(b" " + w for w in words[1:])]
-    out = []
-    for w in words:
-        if b"\n" in w:
-            head, _, tail = w.partition(b"\n")
-            if head and tail[:1].isalnum() and head[-1:] > b" " and head[-1] < 127 and b"\n" not in tail:
-                out += head, b"\n", tail
-                continue
-        out.append(w)
-    return out
+    if any(x in text for x in special):
+        return [b"\r" + text]
+    if _CROWDED(text) or not text.isascii() and _WIDE_SPACE(text.decode()):
+        return [b"\r" + p.encode() for p in pieces(text.decode())]
+    # a full stop or comma after a letter or digit is a piece of its own: "word." need not be known beside "word"
+    words = _CLOSED(rb" \r\1", text).replace(b"\n", b" \n").split(b" ")
+    words[0] = b"\r" + words[0] if text[:1] != b"\n" else b"\r"
+    return words
+
+
+def _spelt(key: bytes) -> str:
+    return key[1:].decode() if key[:1] == b"\r" else key.decode() if key[:1] == b"\n" else " " + key.decode()
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,12 +274,12 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 0, id_col: str =
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
 
     def run(batches):
-        _, wide, remembered, special = _encoder(path)
+        wide, remembered, special, pieces = _encoder(path)
         end = np.array([end_id], wide).tobytes()
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
-                words = [_words(t, special) for t in rows(part, "text")]
-                known = remembered(w for ws in words for w in ws)
+                words = [_words(t, special, pieces) for t in rows(part, "text")]
+                known = remembered(chain.from_iterable(words))
                 ids = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -267,7 +330,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
 
     def tally(batches):
         total = np.zeros(0, np.int64)
-        wide = _encoder(path)[1]
+        wide = _encoder(path)[0]
         for batch in batches:
             n = np.bincount(np.frombuffer(b"".join(rows(batch, "ids")), wide), minlength=len(total))
             n[: len(total)] += total
@@ -282,7 +345,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
     to_rank[order] = np.arange(len(order))
 
     def write(batches):
-        wide, part, seq = _encoder(path)[1], TaskContext.get().partitionId(), count()
+        wide, part, seq = _encoder(path)[0], TaskContext.get().partitionId(), count()
         held, lens, raw, n = [], [], [], 0
 
         def block():
