@@ -209,4 +209,5 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3, block: int = B
 
     texts = bare.select(text_bytes(text_col).alias("_t")).distinct().mapInArrow(run, "_t binary, _fp bigint")
     texts = texts.join(nameless, texts._fp == nameless.root, "left_semi").groupBy("_fp").agg(F.min("_t").alias("_t"))
-    return out.unionByName(bare.join(texts, text_bytes(text_col) == F.col("_t"), "left_semi").dropDuplicates([text_col]))
+    one = bare.join(texts, text_bytes(text_col) == texts["_t"], "left_semi").withColumn("_quire_same", text_bytes(text_col)).dropDuplicates(["_quire_same"]).drop("_quire_same")
+    return out.unionByName(one)  # null and empty texts are one text

@@ -256,6 +256,7 @@ def test_one_of_each(docs):
     assert set(got) - {None} == want and len([g for g in got if g is not None]) == len(want)
     assert got.count(None) == len({f for _, f, c in brute_components(rows) if c is None})
     assert simhash.one_of_each(docs([])).count() == 0
+    assert simhash.one_of_each(docs([(None, None, "en", "a"), (None, "", "en", "b"), (None, "", None, None)])).count() == 1
 
 
 # --- op6, op9, op10
