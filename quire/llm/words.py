@@ -9,14 +9,17 @@ How it is laid out:
 
 1. One pass turns documents into blocks (about BLOCK_BYTES of text each): the block's own word list
    with training counts, and its documents as positions in that list. No text is shuffled.
-2. Word counts are summed over all blocks. The HEAD most frequent words (a model parameter, so the
-   driver's matrix is HEAD x HEAD at most) are clustered by exchange moves on their bigram counts.
-3. Every other word is placed by one exchange move with the head's classes held fixed, from its
-   neighbours' classes over the whole corpus; words whose neighbours are never head words form a
-   class of their own.
-4. Word counts and classes return to the blocks by a shuffle join on the word (nothing that grows
-   with the vocabulary is broadcast); class transitions are counted over the whole corpus; blocks
-   are scored with numpy.
+2. Words are dealt into parts by hash; a part numbers its words and sums their counts. The blocks
+   keep numbers instead of words from then on, on the executors' disks.
+3. The HEAD most frequent words (so the driver's matrix is HEAD x HEAD at most) are clustered by
+   exchange moves on their bigram counts, and the others placed by what the head's classes say.
+4. Then sweeps move every word of the vocabulary, each seen with the classes of all its neighbours:
+   the head on the driver, one word at a time; the others in their parts, one half of them a sweep
+   (neighbours that move at once can chase each other). Per sweep a block sends its movable words'
+   contexts and gets its words' classes back, a byte each; nothing that grows with the vocabulary
+   is broadcast. It ends when two sweeps, in which every word could move, do not raise the
+   likelihood.
+5. Class transitions are counted over the whole corpus; blocks are scored with numpy.
 
 Defined cases: null and empty texts hold the end token alone. A null doc_id counts as the id text ''.
 Repeated rows are scored each. An empty table gives no rows. If no training token exists, both
@@ -27,10 +30,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,8 @@ from .common import drop_stored, id_mod, rows, stored, text_bytes
 
 BLOCK_BYTES = 16 << 20
 HEAD, CLASSES, SWEEPS = 1024, 48, 8
+#: Words of all blocks, each counted in every block that holds it, in one part.
+PART_WORDS = 1 << 17
 #: No word holds a space, so this stands for the end token, which is also what precedes a text.
 END = b" "
 #: Pseudo-count of the class prior in each transition row.
@@ -48,21 +54,24 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, start: np.ndarray | None = None) -> np.ndarray:
     """Class of each word, by exchange moves that raise the class bigram likelihood.
 
     bigrams[v, w] counts v followed by w; words come by descending frequency. Ends when a sweep
-    moves nothing.
+    moves nothing. start: the words' classes so far; the rows after them stand for all other words
+    of class 0, 1, ..., `classes` (the last: those without a class yet) and stay where they are.
     """
     n = len(bigrams)
-    of = np.arange(n) % classes
+    free = n if start is None else len(start)
+    every = classes if start is None else classes + 1
+    of = np.arange(n) % classes if start is None else np.concatenate([start, np.arange(every)])
     b = bigrams.astype(np.float64)
-    member = np.zeros((n, classes))
+    member = np.zeros((n, every))
     member[np.arange(n), of] = 1
     table = member.T @ b @ member
     for _ in range(sweeps):
         moved = 0
-        for w in range(n):
+        for w in range(free):
             twin = b[w, w]
             right, left = b[w] @ member, b[:, w] @ member
             right[of[w]] -= twin
@@ -77,7 +86,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             grown += _xlogx(d + right + left + twin) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
             rows_, cols = table.sum(1), table.sum(0)
             grown -= _xlogx(rows_ + right.sum() + twin) - _xlogx(rows_) + _xlogx(cols + left.sum() + twin) - _xlogx(cols)
-            new = int(grown.argmax())
+            new = int(grown[:classes].argmax())
             if grown[new] <= grown[old] + 1e-9:
                 new = old
             table[new] += right
@@ -88,10 +97,15 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
                 moved += 1
         if not moved:
             break
-    return of
+    return of[:free]
 
 
-BLOCK = "block string, ids array<bigint>, held array<boolean>, lens array<int>, tokens binary, words array<binary>, counts array<bigint>"
+def likelihood(table: np.ndarray) -> float:
+    """Class bigram log-likelihood, less what no class changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+BLOCK = "block string, ids array<bigint>, held array<boolean>, lens array<int>, tokens binary, words array<binary>, counts array<bigint>, hashes binary"
 
 
 def _blocks(batches):
@@ -110,8 +124,9 @@ def _blocks(batches):
         assert end == 0
         learns = np.repeat(~np.array(held, bool), lens)
         counts = np.bincount(tokens[learns], minlength=len(local))
-        row = [[f"{part}-{next(seq)}"], [ids], [held], [lens], [tokens.tobytes()], [list(local)], [counts.tolist()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())))], ["block", "ids", "held", "lens", "tokens", "words", "counts"])
+        hashes = np.fromiter(map(crc32, local), np.uint32, len(local))
+        row = [[f"{part}-{next(seq)}"], [ids], [held], [lens], [tokens.tobytes()], [list(local)], [counts.tolist()], [hashes.tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()))], ["block", "ids", "held", "lens", "tokens", "words", "counts", "hashes"])
 
     ids, held, texts, size = [], [], [], 0
     for batch in batches:
@@ -127,86 +142,220 @@ def _blocks(batches):
         yield block(ids, held, texts)
 
 
-def _learnt(batch: pa.RecordBatch, i: int):
-    """Local ids of the training tokens of block i, and of their predecessors (the end token first)."""
-    at = lambda name: batch.column(batch.schema.get_field_index(name))[i]
-    held, lens = np.array(at("held").as_py(), bool), np.array(at("lens").as_py(), np.int64)
-    tokens = np.frombuffer(at("tokens").as_py(), np.int32)
-    tokens = tokens[np.repeat(~held, lens)]
-    return np.concatenate([[0], tokens[:-1]]).astype(np.int32) if len(tokens) else tokens, tokens
+def _batch(schema: list[tuple[str, pa.DataType]], table: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in table], t) for k, (_, t) in enumerate(schema)], [c for c, _ in schema])
+
+
+def _shares(hashes: np.ndarray, parts: int):
+    """(part, positions) of a block's words, dealt by hash."""
+    part = hashes % parts
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order])) + 1
+    return [(int(part[x[0]]), x) for x in np.split(order, cut) if len(x)]
 
 
-def _head_bigrams(head: list[bytes]):
-    index = {w: i for i, w in enumerate(head)}
+def _listed(parts: int):
+    schema = [("part", pa.int32()), ("block", pa.string()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())]
 
     def run(batches):
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = batch.column(batch.schema.get_field_index("words"))[i].as_py()
-                of = np.array([index.get(w, -1) for w in words], np.int64)
-                prev, cur = (of[x] for x in _learnt(batch, i))
-                both = (prev >= 0) & (cur >= 0)
-                c, n = np.unique(prev[both] * len(head) + cur[both], return_counts=True)
-                codes, at = np.unique(np.concatenate([codes, c]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-        for i in range(0, len(codes), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + 100_000]), pa.array(counts[i : i + 100_000])], ["code", "n"])
+            for block, words, counts, hashes in zip(*(rows(batch, c) for c in ("block", "words", "counts", "hashes"))):
+                counts = np.array(counts, np.int64)
+                yield _batch(schema, [(p, block, [words[j] for j in x], counts[x].tobytes()) for p, x in _shares(np.frombuffer(hashes, np.uint32), parts)])
+
+    return run
+
+
+NAMES = "part int, block string, at binary, n binary, top array<struct<word:binary,n:bigint,at:int>>, total bigint, known bigint"
+
+
+def _names(head: int):
+    """Numbers a part's words: for each block its words' numbers and counts over all blocks, and for the part (block null) its most frequent words."""
+    item = pa.struct([("word", pa.binary()), ("n", pa.int64()), ("at", pa.int32())])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.string()), ("at", pa.binary()), ("n", pa.binary()), ("top", pa.list_(item)), ("total", pa.int64()), ("known", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        index = defaultdict(count().__next__)
+        part, blocks = table.column("part")[0].as_py(), table.column("block").to_pylist()
+        at = [np.fromiter(map(index.__getitem__, x.as_py()), np.int32, len(x)) for x in table.column("words")]
+        n = np.zeros(len(index), np.int64)
+        for x, k in zip(at, table.column("counts").to_pylist()):
+            n[x] += np.frombuffer(k, np.int64)
+        named = list(index)
+        few = np.flatnonzero(n >= max(1, np.sort(n)[-head:][0]))
+        top = sorted(({"word": named[j], "n": int(n[j]), "at": int(j)} for j in few), key=lambda r: (-r["n"], r["word"]))[:head]
+        out = [{"part": part, "block": b, "at": x.tobytes(), "n": n[x].tobytes()} for b, x in zip(blocks, at)]
+        return pa.Table.from_pylist([*out, {"part": part, "top": top, "total": int(n.sum()), "known": int((n > 0).sum())}], schema)
 
     return run
 
 
+#: A block's words by position: number (part in the upper half), count over all blocks.
+STATE = "block string, ids array<bigint>, held array<boolean>, lens array<int>, tokens binary, number binary, n binary"
+
+
+def _numbered(parts: int):
+    schema = [("block", pa.string()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())), ("tokens", pa.binary()), ("number", pa.binary()), ("n", pa.binary())]
+
+    def run(batches):
+        for batch in batches:
+            for *kept, hashes, x in zip(*(rows(batch, c) for c in ("block", "ids", "held", "lens", "tokens", "hashes", "x"))):
+                hashes = np.frombuffer(hashes, np.uint32)
+                number, n = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+                for (p, at), r in zip(_shares(hashes, parts), x):
+                    number[at] = (p << 32) + np.frombuffer(r["at"], np.int32).astype(np.int64)
+                    n[at] = np.frombuffer(r["n"], np.int64)
+                yield _batch(schema, [(*kept, number.tobytes(), n.tobytes())])
+
+    return run
+
+
+#: Words without a class: so far, or for good since no training row holds them.
+NONE = 255
+
+
+def _state(batch: pa.RecordBatch):
+    """Of each block: name, training tokens, their predecessors, numbers, counts, classes by part (None: no word has one yet)."""
+    for block, held, lens, tokens, number, n, cls in zip(*(rows(batch, c) for c in ("block", "held", "lens", "tokens", "number", "n", "cls"))):
+        tokens = np.frombuffer(tokens, np.int32)[np.repeat(~np.array(held, bool), lens)]
+        number = np.frombuffer(number, np.int64)
+        yield block, tokens, np.concatenate([[0], tokens[:-1]]).astype(np.int32) if len(tokens) else tokens, number, np.frombuffer(n, np.int64), _classes(number, cls)
+
+
+def _classes(number: np.ndarray, parts: list | None) -> np.ndarray:
+    """Classes by position in the block, from the parts' answers."""
+    cls = np.full(len(number), NONE, np.uint8)
+    if parts is not None:
+        cls[np.argsort(number >> 32, kind="stable")] = np.frombuffer(b"".join(parts), np.uint8)
+    return cls
+
+
+def _head_of(number: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Place among the head's words (-1: none)."""
+    if not len(head):
+        return np.full(len(number), -1)
+    order = np.argsort(head)
+    at = order[np.searchsorted(head, number, sorter=order).clip(0, len(head) - 1)]
+    return np.where(head[at] == number, at, -1)
+
+
+#: Rows into which the counts of node pairs are cut.
+PIECES = 16
+
+
+def _node_bigrams(head: np.ndarray, classes: int, pairs: bool):
+    """Counts of node pairs: a word of the head is a node, and so are all other words of one class together (the last: those without). pairs: also those of two words of the head."""
+    h = len(head)
+    size = h + classes + 1
+
+    def run(batches):
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for _, cur, prev, number, _, cls in _state(batch):
+                own = _head_of(number, head)
+                node = np.where(own >= 0, own, h + np.minimum(cls, classes).astype(np.int64))
+                total += np.bincount(node[prev] * size + node[cur], minlength=size * size)
+        total = total.reshape(size, size)
+        total = total.ravel() if pairs else np.concatenate([total[:h, h:].ravel(), total[h:].ravel()])
+        cut = np.array_split(total, PIECES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["piece", "n"])
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("n"))
+    return pa.table({"piece": table.column("piece")[:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+
 #: A context and how often it was seen; more than 255 times take several entries.
 SEEN = np.dtype([("ctx", "u1"), ("n", "u1")])
+ASKED = "part int, block string, cls binary, turn binary, at binary, entries binary, seen binary"
+
 
+def _turn(number: np.ndarray, sweep: int) -> np.ndarray:
+    """Whether a word may move in this sweep: of two neighbours that would both follow the other, one often stays; every word may in one of two sweeps that follow each other."""
+    mixed = (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((sweep // 2 + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(40)) & np.uint64(1) == sweep % 2
 
-def _tail_contexts(head: list[bytes], of: np.ndarray, classes: int):
-    """For each training word outside the head: its count and how often each head class stood before (ctx) and after it (classes + ctx)."""
-    index = dict(zip(head, of.tolist()))
+
+def _asked(head: np.ndarray, of: np.ndarray, classes: int, sweep: int):
+    """To each part, from each block: its words' classes, which of them may move, and their contexts: class before (ctx) and after (classes + ctx), where it has one."""
+    schema = [("part", pa.int32()), ("block", pa.string()), ("cls", pa.binary()), ("turn", pa.binary()), ("at", pa.binary()), ("entries", pa.binary()), ("seen", pa.binary())]
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = batch.column(batch.schema.get_field_index("words"))[i].as_py()
-                counts = np.array(batch.column(batch.schema.get_field_index("counts"))[i].as_py(), np.int64)
-                cls = np.array([index.get(w, -1) for w in words], np.int64)
-                prev, cur = _learnt(batch, i)
-                after = (cls[prev] >= 0) & (cls[cur] < 0)
-                before = (cls[cur] >= 0) & (cls[prev] < 0)
-                code = np.concatenate([cur[after].astype(np.int64) * 2 * classes + cls[prev[after]], prev[before].astype(np.int64) * 2 * classes + classes + cls[cur[before]]])
-                code, n = np.unique(code, return_counts=True)
-                times = (n - 1) // 255 + 1
+            for block, cur, prev, number, n, cls in _state(batch):
+                own = _head_of(number, head)
+                cls = np.where(own >= 0, of[own] if len(of) else NONE, cls).astype(np.uint8)
+                turn = (own < 0) & (n > 0) & (_turn(number, sweep) | (sweep < 0))
+                order = np.argsort(number >> 32, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                after, before = turn[cur] & (cls[prev] < NONE), turn[prev] & (cls[cur] < NONE)
+                code = np.concatenate([place[cur[after]] * 2 * classes + cls[prev[after]], place[prev[before]] * 2 * classes + classes + cls[cur[before]]])
+                code, seen = np.unique(code, return_counts=True)
+                times = (seen - 1) // 255 + 1
                 last = np.cumsum(times) - 1
-                code, n = np.repeat(code, times), n - 255 * (times - 1)
-                n, rest = np.full(len(code), 255), n
-                n[last] = rest
-                seen = np.empty(len(code), SEEN)
-                seen["ctx"], seen["n"] = code % (2 * classes), n
-                tail = np.flatnonzero((cls < 0) & (counts > 0))
-                lo, hi = (np.searchsorted(code // (2 * classes), tail, side) for side in ("left", "right"))
-                raw, size = seen.tobytes(), SEEN.itemsize
-                blobs = [raw[a * size : b * size] for a, b in zip(lo, hi)]
-                for k in range(0, len(tail), 50_000):
-                    part = tail[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([words[j] for j in part], pa.binary()), pa.array(counts[part]), pa.array(blobs[k : k + 50_000], pa.binary())], ["word", "n", "seen"])
+                rest = seen - 255 * (times - 1)
+                code, seen = np.repeat(code, times), np.full(int(times.sum()), 255)
+                seen[last] = rest
+                entries = np.bincount(code // (2 * classes), minlength=len(order)).astype(np.int32)
+                blob = np.empty(len(code), SEEN)
+                blob["ctx"], blob["n"] = code % (2 * classes), seen
+                ends = np.concatenate([[0], np.cumsum(entries)])
+                part = (number >> 32)[order]
+                cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(order)]
+                out = []
+                for a, b in zip(cut, cut[1:]):
+                    x = order[a:b]
+                    t = turn[x]
+                    out.append((int(part[a]), block, cls[x].tobytes(), np.packbits(t).tobytes(), (number[x[t]] & 0xFFFFFFFF).astype(np.int32).tobytes(), entries[a:b][t].tobytes(), blob[ends[a] : ends[b]].tobytes()))
+                yield _batch(schema, out)
 
     return run
 
 
-def _place(affinity: np.ndarray, mass: np.ndarray):
-    """One exchange move per word: the class under which its neighbours are likeliest; the extra class if it has none."""
+def _placed(affinity: np.ndarray, mass: np.ndarray):
+    """One exchange move of each word of a part that may move: the class under which all its neighbours are likeliest. A word none of whose neighbours has a class waits."""
     classes = len(mass)
 
+    def run(table: pa.Table) -> pa.Table:
+        cls = [np.frombuffer(x, np.uint8).copy() for x in table.column("cls").to_pylist()]
+        turn = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)).astype(bool) for x, c in zip(table.column("turn").to_pylist(), cls)]
+        at = [np.frombuffer(x, np.int32) for x in table.column("at").to_pylist()]
+        entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), np.int32)
+        seen = np.frombuffer(b"".join(table.column("seen").to_pylist()), SEEN)
+        words, place = np.unique(np.concatenate(at), return_inverse=True)
+        if len(words):
+            old = np.full(len(words), NONE, np.uint8)
+            old[place] = np.concatenate([c[t] for c, t in zip(cls, turn)])
+            code = np.repeat(place, entries) * 2 * classes + seen["ctx"]
+            near = np.bincount(code, seen["n"].astype(float), len(words) * 2 * classes).reshape(len(words), -1)
+            fit = near @ affinity - near[:, :classes].sum(1, keepdims=True) * np.log(mass)
+            new, here = fit.argmax(1), np.arange(len(words))
+            stays = (old < NONE) & (fit[here, new] <= fit[here, np.minimum(old, classes - 1)] + 1e-6)
+            new = np.where(stays | ~near.any(1), old, new).astype(np.uint8)
+            ends = np.cumsum([0, *map(len, at)])
+            for c, t, a, b in zip(cls, turn, ends, ends[1:]):
+                c[t] = new[place[a:b]]
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "cls": pa.array([c.tobytes() for c in cls], pa.binary())})
+
+    return run
+
+
+READY = "block string, ids array<bigint>, held array<boolean>, lens array<int>, tokens binary, n binary, cls binary"
+
+
+def _ready(classes: int):
+    schema = [("block", pa.string()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())), ("tokens", pa.binary()), ("n", pa.binary()), ("cls", pa.binary())]
+
     def run(batches):
         for batch in batches:
-            seen = [b"".join(x) for x in rows(batch, "seen")]
-            n = np.array(rows(batch, "n"), float)
-            at = np.repeat(np.arange(len(seen)), [len(x) // SEEN.itemsize for x in seen])
-            s = np.frombuffer(b"".join(seen), SEEN)
-            table = np.bincount(at * 2 * classes + s["ctx"], s["n"].astype(float), len(seen) * 2 * classes).reshape(len(seen), -1)
-            fit = table @ affinity - n[:, None] * np.log(mass)
-            cls = np.where(table.any(1), fit.argmax(1), classes)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("word")), pa.array(n.astype(np.int64)), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
+            for *kept, number, n, cls in zip(*(rows(batch, c) for c in ("block", "ids", "held", "lens", "tokens", "number", "n", "cls"))):
+                cls = _classes(np.frombuffer(number, np.int64), cls)
+                yield _batch(schema, [(*kept, n, np.where(cls == NONE, classes, cls).astype(np.uint8).tobytes())])
 
     return run
 
@@ -214,12 +363,12 @@ def _place(affinity: np.ndarray, mass: np.ndarray):
 def _token_arrays(batch: pa.RecordBatch, i: int):
     col = lambda name: batch.column(batch.schema.get_field_index(name))[i]
     tokens = np.frombuffer(col("tokens").as_py(), np.int32)
-    n, cls = np.array(col("n").as_py(), np.int64), np.array(col("cls").as_py(), np.int64)
+    n, cls = np.frombuffer(col("n").as_py(), np.int64), np.frombuffer(col("cls").as_py(), np.uint8).astype(np.int64)
     return tokens, n, cls, np.array(col("lens").as_py(), np.int64), np.array(col("held").as_py(), bool)
 
 
 def _transitions(classes: int):
-    """Counts (c, d): class c then class d over training tokens. Column `classes`: then a word seen once. Row `classes`: after a word seen once."""
+    """Counts (c, d): class c then class d over training tokens, where every word has one. Column `classes`: then a word seen once. Row `classes`: after a word seen once."""
     size = classes + 1
 
     def run(batches):
@@ -270,38 +419,87 @@ def _scored(total: int, distinct: int, log_trans: np.ndarray, log_unknown: np.nd
     return run
 
 
+def _clustered(state: DataFrame, number: np.ndarray, classes: int) -> DataFrame:
+    """(block, cls): each block's classes by part. Exchange moves of all words, until two sweeps (in which every word had its move) do not raise the likelihood."""
+    size = len(number) + classes + 1
+
+    learnt = state.drop("ids")
+
+    def given(cls: DataFrame | None) -> DataFrame:
+        return learnt.withColumn("cls", F.lit(None).cast("array<binary>")) if cls is None else learnt.join(cls.hint("shuffle_hash"), "block")
+
+    def nodes(cls: DataFrame | None) -> np.ndarray:
+        h, kind = len(number), "piece int, n binary"
+        found = given(cls).mapInArrow(_node_bigrams(number, classes, cls is None), kind).groupBy("piece").applyInArrow(_summed, kind).collect()
+        n = np.frombuffer(b"".join(r.n for r in sorted(found, key=lambda r: r.piece)), np.int64)
+        if cls is None:
+            return n.reshape(size, size).astype(float) if len(n) else np.zeros((size, size))
+        out = b.copy()
+        if len(n):
+            out[:h, h:], out[h:] = n[: h * (classes + 1)].reshape(h, classes + 1), n[h * (classes + 1) :].reshape(-1, size)
+        return out
+
+    def sweep(cls: DataFrame | None, k: int) -> DataFrame:
+        smooth = table[:classes, :classes] + 0.1
+        follows = smooth / smooth.sum(1, keepdims=True)
+        answers = given(cls).mapInArrow(_asked(number, of, classes, k), ASKED).groupBy("part").applyInArrow(_placed(np.log(np.vstack([follows, follows.T])), smooth.sum(0)), "block string, part int, cls binary")
+        return stored(answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "cls"))).alias("x")).select("block", F.col("x.cls").alias("cls")), "lm-classes")
+
+    def folded(b: np.ndarray) -> np.ndarray:
+        member = np.zeros((size, classes + 1))
+        member[np.arange(size), np.concatenate([of, np.arange(classes + 1)])] = 1
+        return member.T @ b @ member
+
+    b = nodes(None)
+    of = exchange(b[: len(number), : len(number)], classes) if len(number) else np.zeros(0, np.int64)
+    table = np.zeros((classes + 1, classes + 1))
+    if len(number):
+        member = np.eye(classes + 1)[of]
+        table = member.T @ b[: len(number), : len(number)] @ member
+    cls, k = sweep(None, -1), 0
+    best, before = None, (-np.inf, -np.inf)
+    while True:
+        b = nodes(cls)
+        of = exchange(b, classes, 1, of)
+        table = folded(b)
+        if k % 2 == 0:
+            waiting = table[classes].sum()
+            now = (-waiting, likelihood(table))
+            if now <= before:
+                if best is None:
+                    return cls
+                drop_stored(cls)
+                return best
+            if best is not None:
+                drop_stored(best)
+            best, before = cls, now
+        after = sweep(cls, k)
+        if cls is not best:
+            drop_stored(cls)
+        cls, k = after, k + 1
+
+
 def class_ngram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, classes: int = CLASSES) -> DataFrame:
     """Log10 probability of every text under a Brown class bigram model learnt from the rows that are not held out; see the module's text."""
     given = docs.select(F.col(id_col).cast("bigint").alias("id"), (id_mod(id_col, 5) == 1).alias("held"), text_bytes(text_col).alias("text"))
     blocks = stored(given.mapInArrow(_blocks, BLOCK), "lm-blocks", compression="zstd")
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counted = stored(listed.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r.word), r.n) for r in counted.orderBy(F.desc("n"), "word").limit(head).collect()]
-    drop_stored(counted)
-    words = [w for w, _ in top]
-
-    pairs = np.zeros((max(1, len(words)), max(1, len(words))))
-    for r in blocks.mapInArrow(_head_bigrams(words), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toLocalIterator():
-        pairs.flat[r.code] = r.n
-    classes = min(classes, len(pairs))
-    of = exchange(pairs, classes)
-    member = np.zeros((len(pairs), classes))
-    member[np.arange(len(pairs)), of] = 1
-    table = member.T @ pairs @ member + 0.1
-    follows, mass = table / table.sum(1, keepdims=True), member.T @ np.array([n for _, n in top] or [1.0]) + 1
-    affinity = np.log(np.vstack([follows, follows.T]))
-
-    tail = blocks.mapInArrow(_tail_contexts(words, of, classes), "word binary, n bigint, seen binary").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("seen").alias("seen"))
-    placed = tail.mapInArrow(_place(affinity, mass), "word binary, n bigint, cls int")
     spark = docs.sparkSession
-    first = spark.createDataFrame([(bytearray(w), n, int(c)) for (w, n), c in zip(top, of)], "word binary, n bigint, cls int")
-    model = stored(first.unionByName(placed), "lm-model")
-    back = listed.select("block", "i", "word").join(model, "word", "left")
-    back = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(classes)).alias("cls")))).alias("x"))
-    back = back.select("block", F.col("x.n").alias("n"), F.col("x.cls").alias("cls"))
-    ready = stored(blocks.select("block", "ids", "held", "lens", "tokens").join(back, "block"), "lm-ready", compression="zstd")
-    drop_stored(blocks, model)
+    parts = max(1, -(-(blocks.agg(F.sum(F.size("words"))).first()[0] or 0) // PART_WORDS))
+    names = stored(blocks.mapInArrow(_listed(parts), "part int, block string, words array<binary>, counts binary").groupBy("part").applyInArrow(_names(head), NAMES), "lm-names")
+    per_part = names.filter("block IS NULL")
+    total, distinct = per_part.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    top = per_part.select("part", F.explode("top").alias("w")).orderBy(F.desc("w.n"), "w.word").limit(head).collect()
+    number = np.array([(r.part << 32) + r.w.at for r in top], np.int64)
+    back = names.filter("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "at", "n"))).alias("x"))
+    joined = blocks.select("block", "ids", "held", "lens", "tokens", "hashes").join(back, "block")
+    state = joined.mapInArrow(_numbered(parts), STATE).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").persist(StorageLevel.DISK_ONLY)
+    classes = min(classes, max(1, len(top)))
+    try:
+        cls = _clustered(state, number, classes)
+        ready = stored(state.join(cls.hint("shuffle_hash"), "block").mapInArrow(_ready(classes), READY), "lm-ready", compression="zstd")
+    finally:
+        state.unpersist()
+    drop_stored(blocks, names, cls)
     every = classes + 1
     counts = np.zeros((every + 1, every + 1))
     for r in ready.mapInArrow(_transitions(every), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():

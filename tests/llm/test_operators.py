@@ -58,6 +58,15 @@ def test_class_ngram_empty(docs):
     assert r[0].base_score == 0 and r[0].score == 0 and r[0].train_tokens == 0
 
 
+def test_class_ngram_moves_words_that_never_meet_the_head(docs):
+    rnd = random.Random(3)
+    text = lambda kinds, k: " ".join(f"{'abc'[j % 3]}{rnd.randrange(kinds)}" for j in range(k))
+    rows = [(i, text(30, 300), None, None) for i in range(60)] + [(1000 + i, "x y z " * 400, None, None) for i in range(20)]
+    got = [r for r in words.class_ngram_scores(docs(rows), head=3, classes=3).collect() if r.doc_id < 1000 and not r.held_out]
+    # the head is x, y and z: under one class for all other words a word costs log10(90), under the planted three log10(30)
+    assert -sum(r.score for r in got) / sum(r.n_tokens for r in got) < math.log10(90) - 0.1
+
+
 # --- op2, op4, op7
 
 
