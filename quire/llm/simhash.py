@@ -192,22 +192,32 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, block: int
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, less all but one of each component: the smallest doc_id stays, and of its repeated rows one.
 
-    A component without any doc_id keeps one row. Columns stay as they are.
+    Where rows of that doc_id hold different texts, one of the component's own stays (smallest
+    fingerprint). A component without any doc_id keeps one row. Columns stay as they are.
     """
     found = _named(docs, width, radius, block, id_col, text_col)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    out = docs.join(kept, docs[id_col] == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    nameless = stored(found.filter("component_id IS NULL").select("root").distinct(), "simhash-nameless")
-    if nameless.isEmpty():
-        return out
-    bare = docs.filter(F.col(id_col).isNull())
+    twice = stored(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select(F.col("doc_id").alias("_twice_id")), "simhash-twice")
+    kept = found.filter("doc_id = component_id")
+    once = kept.join(twice, kept.doc_id == twice["_twice_id"], "left_anti").select(F.col("doc_id").alias("_kept_id"))
+    out = docs.join(once, docs[id_col] == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
 
     def run(batches):
         for batch in batches:
             t = rows(batch, "_t")
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(np.array([fingerprint(x, width) for x in t], np.uint64).view(np.int64))], ["_t", "_fp"])
-
-    texts = bare.select(text_bytes(text_col).alias("_t")).distinct().mapInArrow(run, "_t binary, _fp bigint")
-    texts = texts.join(nameless, texts._fp == nameless.root, "left_semi").groupBy("_fp").agg(F.min("_t").alias("_t"))
-    one = bare.join(texts, text_bytes(text_col) == texts["_t"], "left_semi").withColumn("_quire_same", text_bytes(text_col)).dropDuplicates(["_quire_same"]).drop("_quire_same")
-    return out.unionByName(one)  # null and empty texts are one text
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_id")), pa.array(t, pa.binary()), pa.array(np.array([fingerprint(x, width) for x in t], np.uint64).view(np.int64))], ["_id", "_t", "_fp"])
+
+    def one_row(some: DataFrame, own: DataFrame) -> DataFrame:
+        """A row of `some` for each id and fingerprint in `own`; null and empty texts are one text."""
+        key = F.col(id_col).cast("bigint")
+        texts = some.select(key.alias("_id"), text_bytes(text_col).alias("_t")).distinct().mapInArrow(run, "_id bigint, _t binary, _fp bigint")
+        texts = texts.join(own, texts["_id"].eqNullSafe(own["_own"]) & (texts["_fp"] == own["_own_fp"]), "left_semi").groupBy("_id", "_fp").agg(F.min("_t").alias("_t"))
+        one = some.join(texts, key.eqNullSafe(texts["_id"]) & (text_bytes(text_col) == texts["_t"]), "left_semi")
+        return one.withColumn("_quire_same", text_bytes(text_col)).dropDuplicates([id_col, "_quire_same"]).drop("_quire_same")
+
+    if not twice.isEmpty():
+        own = kept.join(twice, kept.doc_id == twice["_twice_id"], "left_semi").groupBy(F.col("doc_id").alias("_own"), "root").agg(F.min("fp").alias("_own_fp"))
+        out = out.unionByName(one_row(docs.join(twice, docs[id_col] == F.col("_twice_id"), "left_semi"), own.drop("root")))
+    nameless = stored(found.filter("component_id IS NULL").select(F.col("component_id").alias("_own"), F.col("root").alias("_own_fp")).distinct(), "simhash-nameless")
+    if not nameless.isEmpty():
+        out = out.unionByName(one_row(docs.filter(F.col(id_col).isNull()), nameless))
+    return out

@@ -268,6 +268,13 @@ def test_one_of_each(docs):
     assert simhash.one_of_each(docs([(None, None, "en", "a"), (None, "", "en", "b"), (None, "", None, None)])).count() == 1
 
 
+def test_one_of_each_where_an_id_has_several_texts(docs):
+    a, b = PROSE[40][1], PROSE[41][1]
+    keep = lambda rows: sorted((r.doc_id, r.text) for r in simhash.one_of_each(docs([(i, t, "en", "s") for i, t in rows])).collect())
+    assert keep([(7, a), (7, b), (7, b)]) == sorted([(7, a), (7, b)])
+    assert keep([(3, b), (7, a), (7, b)]) == keep([(7, b), (7, a), (3, b)]) == [(3, b), (7, a)]
+
+
 # --- op6, op9, op10
 
 
