@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document's text, checked by decoding: counts and digests."""
-    return bpe_round_trip(docs, vocabulary("byte_bpe_50k.json"))
+    """Ids of each document's text and the text they decode to, with counts and digests of both."""
+    return bpe_round_trip(docs, vocabulary("byte_bpe_50k.json"), keep=True)
 
 
 STAGES = [("language", language), ("quality", quality), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]

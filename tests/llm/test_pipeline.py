@@ -38,3 +38,10 @@ def test_run_encodes_exactly(spark, folder):
     codec = load(vocabulary("byte_bpe_50k.json"))
     got = corpus_pipeline.run(spark, d).collect()
     assert got and all(r.n_tokens == len(codec.ids(texts[r.doc_id])) for r in got)
+
+
+def test_encoding_hands_on_ids_and_text(spark, docs):
+    codec = load(vocabulary("byte_bpe_50k.json"))
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "a  b\n\nc é😀 <|endoftext|>", "en", "a"), (4, prose(random.Random(1), 80), "en", "b")]
+    got = {r.doc_id: (r.ids, r.decoded) for r in corpus_pipeline.encoding(spark, docs(rows), "").collect()}
+    assert got == {i: (codec.ids(t or "").tolist(), t or "") for i, t, _, _ in rows}
