@@ -6,8 +6,10 @@ centroids from spherical k-means; a text gets the language of the centroid with
 which is the score. A language rejects texts farther from its centroids than REJECT times the cosine
 that all but REJECT_TAIL of its own sample reach.
 
-Fitting uses a bounded sample: about SAMPLE rows in all, shared equally by the languages, chosen by a
-hash of doc_id, whole texts. Everything else covers all rows.
+Fitting uses a bounded sample: about SAMPLE rows in all, shared equally by the languages (EACH at least), chosen
+by a hash of id and text, whole texts; no language has more than twice its share. The sample lies in the shared folder
+as sparse counts, each language's centroids are found where its rows are, and only centroids and document
+frequencies reach the driver: DIMS numbers a centroid. Everything else covers all rows.
 
 Defined cases: a text that is null, empty or without a letter is `und` with score 0 and rejected. No
 training rows at all: every text is `und`. Ties go to the first language in code point order. Repeated
@@ -19,15 +21,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, id_mod, rows, text_bytes
+from .common import by_bytes, drop_stored, id_mod, rows, stored, text_bytes
 
 DIMS, CENTROIDS, ROUNDS = 4096, 4, 8
-#: Bound of the training sample, over all languages.
-SAMPLE = 4000
+#: Bound of the training sample over all languages, least share of one, and the most languages there can be.
+SAMPLE, EACH, LANGUAGES = 4000, 50, 1000
 REJECT, REJECT_TAIL = 0.4, 0.01
 SLICE_BYTES = 4 << 20
 #: Bytes as they count: ASCII letters in lower case, other ASCII as one space, the rest as it is.
@@ -85,40 +87,71 @@ class LanguageModel:
         return [self.languages[j] if k else "und" for k, j in zip(known, lang)], score.clip(0, 1), rejected
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """Places (u2) and then counts (u4) of a vector that are not zero."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes()
+
+
+def _dense(sparse: list[bytes]) -> np.ndarray:
+    x = np.zeros((len(sparse), DIMS), np.float32)
+    for row, s in zip(x, sparse):
+        n = len(s) // 6
+        row[np.frombuffer(s, "<u2", n)] = np.frombuffer(s, "<u4", n, 2 * n)
+    return x
+
+
+def _frequencies(batches):
+    """How many of a part's sample vectors hold each place, and how many there are."""
+    n, seen = 0, np.zeros(DIMS, np.int64)
+    for batch in batches:
+        for s in rows(batch, "x"):
+            n += 1
+            seen[np.frombuffer(s, "<u2", len(s) // 6)] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([seen.tobytes()], pa.binary())], ["n", "seen"])
+
+
+def _fitted(idf: np.ndarray):
+    """Of one language's sample: its centroids and the cosine below which a text is rejected."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = LanguageModel([], idf, np.zeros((0, DIMS)), np.zeros(0), np.zeros(0)).vectors(_dense(sorted(table.column("x").to_pylist())))
+        c = centroids(own)
+        least = REJECT * np.quantile((own @ c.T).max(1), REJECT_TAIL)
+        return pa.table({"lang": table.column("lang")[:1], "centres": pa.array([c.astype("<f4").tobytes()], pa.binary()), "least": pa.array([float(least)])})
+
+    return run
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn=None) -> LanguageModel:
     """Learn from the rows with a language, a letter-bearing text and (where given) the condition `learn`."""
     given = docs.filter(F.col(lang_col).isNotNull() & (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0))
     if learn is not None:
         given = given.filter(learn)
-    mixed = F.pmod(F.xxhash64(F.col(id_col), F.lit(6)), F.lit(1 << 30))
-    counts = {r["l"]: r["n"] for r in given.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count("*").alias("n")).collect()}
-    each = sample // max(1, len(counts))
-    bound = F.lit(1 << 30)
-    for l, n in counts.items():
-        bound = F.when(F.col(lang_col).cast("string") == l, F.lit(int(min(1, each / n) * (1 << 30)))).otherwise(bound)
-    picked = given.filter(mixed < bound).select(F.col(lang_col).cast("string").alias("lang"), text_bytes(text_col).alias("text"), mixed.alias("h"))
+    given = given.select(F.col(lang_col).cast("string").alias("lang"), text_bytes(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(6)), F.lit(1 << 30)).alias("h"))
+    counts = given.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    each = max(EACH, sample // max(1, len(counts)))
+    bounds = docs.sparkSession.createDataFrame([(r.lang, int(min(1, each / r.n) * (1 << 30))) for r in counts], "lang string, bound bigint")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    picked = given.join(F.broadcast(bounds), "lang").filter("h < bound").withColumn("place", place).filter(F.col("place") <= 2 * each)  # broadcast: LANGUAGES rows at most
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), batch.column(batch.schema.get_field_index("h")), pa.array([gram_counts(t).astype("<f4").tobytes() for t in rows(batch, "text")], pa.binary())], ["lang", "h", "x"])
-
-    got = picked.mapInArrow(run, "lang string, h bigint, x binary").orderBy("h", "lang").limit(2 * sample).collect()
-    got.sort(key=lambda r: (r.lang, r.h, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, "<f4") for r in got], np.float32).reshape(-1, DIMS)
-    live = x.any(1)
-    x, langs = x[live], np.array([r.lang for r in got], object)[live]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1
-    model = LanguageModel(sorted(set(langs)), idf.astype(np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    centres, of, least = [], [], []
-    for i, lang in enumerate(model.languages):
-        own = model.vectors(x[langs == lang])
-        c = centroids(own)
-        centres.append(c)
-        of += [i] * len(c)
-        least.append(REJECT * np.quantile((own @ c.T).max(1), REJECT_TAIL))
-    if centres:
-        model.centres, model.of, model.least = np.concatenate(centres).astype(np.float32), np.array(of), np.array(least)
-    return model
+            x = [_sparse(gram_counts(t)) for t in rows(batch, "text")]
+            out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), pa.array(x, pa.binary())], ["lang", "x"])
+            yield out.filter(pa.array([len(v) > 0 for v in x], pa.bool_()))
+
+    found = stored(picked.select("lang", "text").mapInArrow(run, "lang string, x binary"), "lang-sample")
+    parts = found.mapInArrow(_frequencies, "n bigint, seen binary").collect()
+    seen = sum((np.frombuffer(r.seen, np.int64) for r in parts), np.zeros(DIMS, np.int64))
+    idf = (np.log((1 + sum(r.n for r in parts)) / (1 + seen)) + 0.1).astype(np.float32)
+    fitted = sorted(found.groupBy("lang").applyInArrow(_fitted(idf), "lang string, centres binary, least double").collect(), key=lambda r: r.lang)
+    drop_stored(found)
+    centres = [np.frombuffer(r.centres, "<f4").reshape(-1, DIMS) for r in fitted]
+    of = np.repeat(np.arange(len(fitted)), [len(c) for c in centres])
+    return LanguageModel([r.lang for r in fitted], idf, np.concatenate([*centres, np.zeros((0, DIMS), np.float32)]), of, np.array([r.least for r in fitted]))
 
 
 def _predicted(docs: DataFrame, model: LanguageModel, keep: list, names: list[str], text_col: str) -> DataFrame:

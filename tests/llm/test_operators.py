@@ -298,6 +298,42 @@ def test_language_stage_keeps_columns(docs):
     assert out.columns == docs([]).columns and {r.doc_id for r in out.collect()} >= {i for i, *_ in PROSE[10:]} and out.filter("doc_id < 3").count() == 0
 
 
+def test_language_rejects_what_is_far_from_every_language(docs):
+    foreign = ["xqzvkj qwpfgj zxcvbn mnbvcx lkjhgf poiuyt", "Это пример русского текста, который не входит в обучение", "日本語の文章です", "aaaaaaaa bbbbbbb ccccccc"]
+    out = langid.accepted(docs([(i, prose(random.Random(i), 60, FR) if i % 2 else prose(random.Random(i), 60), "fr" if i % 2 else "en", "s") for i in range(200)] + [(1000 + i, t, None, "s") for i, t in enumerate(foreign)]))
+    ids = {r.doc_id for r in out.collect()}
+    assert not {1000 + i for i in range(len(foreign))} & ids and len(ids) >= 198
+    assert langid.accepted(docs([])).count() == 0
+
+
+def test_language_equals_nearest_centroid_by_hand(docs):
+    rows = [(i, prose(random.Random(i), 30, FR) if i % 2 else prose(random.Random(i), 30), "fr" if i % 2 else "en", "s") for i in range(60)]
+    model = langid.fit(docs(rows))
+    for _, t, _, _ in rows[:10]:
+        counts = Counter()
+        b = [c if chr(c).isalpha() else 32 for c in b" " + t.lower().encode() + b"  "]
+        for i in range(len(b) - 2):
+            if b[i + 1] != 32:
+                two = b[i] << 8 | b[i + 1]
+                for x in (two + (1 << 24), two << 8 | b[i + 2]):
+                    counts[(x * 2654435761 % (1 << 32)) >> 20] += 1
+        v = {k: math.log(1 + n) * float(model.idf[k]) for k, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x / norm * float(c[k]) for k, x in v.items()) for c in model.centres]
+        lang, score, _ = model.predict([t.encode()])
+        assert lang[0] == model.languages[model.of[int(np.argmax(cos))]] and score[0] == pytest.approx(max(cos), abs=1e-4)
+    tie = langid.LanguageModel(["a", "b"], model.idf, np.concatenate([model.centres[:1]] * 2), np.array([0, 1]), np.zeros(2))
+    assert tie.predict([b"some text"])[0] == ["a"]
+
+
+def test_language_samples_rows_without_ids_and_refuses_too_many_languages(docs):
+    rows = [(None, "same words again", "en", "s")] * 300 + [(i, prose(random.Random(i), 30, FR), "fr", "s") for i in range(50)]
+    model = langid.fit(docs(rows), sample=40)
+    assert model.languages in (["en", "fr"], ["fr"])
+    with pytest.raises(ValueError):
+        langid.fit(docs([(i, "words", f"l{i:05}", "s") for i in range(langid.LANGUAGES + 1)]))
+
+
 def labels(spark, rows):
     return spark.createDataFrame([(i, q, 0, "x") for i, q in rows], "doc_id bigint, quality int, toxic int, text string")
 
