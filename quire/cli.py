@@ -24,21 +24,23 @@ def main(argv: list[str] | None = None, out=None, err=None) -> int:
     if args.json and (args.text or args.layout):
         print("quire: --json excludes --text and --layout", file=err)
         return 2
+    from pyspark.errors import AnalysisException
     from pyspark.sql import SparkSession
 
     from .operators.elements import Parsed, layout_text
-    from .options import ALL, FULL
+    from .options import ALL, FULL, TEXT
     from .sources.reader import parse_files
 
     spark = SparkSession.builder.getOrCreate()
-    if not args.file.lower().endswith(".pdf"):
-        print("quire: the file's name must end in .pdf", file=err)
-        return 2
-    found = Parsed(parse_files(spark, args.file, ALL, FULL)).persist()
+    try:
+        found = Parsed(parse_files(spark, args.file, TEXT if args.layout else ALL, FULL)).persist()
+    except AnalysisException as e:
+        print(f"quire: {e.getMessage()}", file=err)
+        return 1
     try:
         error = found.errors().first()
-        if error:
-            print(f"quire: {error['message']}", file=err)
+        if error or found.rows.isEmpty():
+            print(f"quire: {error['message'] if error else 'no PDF file there'}", file=err)
             return 1
         n = found.diagnostics().count()
         if args.layout:
@@ -54,11 +56,13 @@ def main(argv: list[str] | None = None, out=None, err=None) -> int:
             if args.json:
                 print(json.dumps(summary, indent=2), file=out)
             else:
-                for k, v in summary.items():
-                    if k != "page_details":
-                        print(f"{k.replace('_', ' ').capitalize()}: {v}", file=out)
-                for p in summary.get("page_details", []):
-                    print(f"Page {p['page']}: texts={p['texts']} graphics={p['graphics']} images={p['images']} complete={p['complete']}", file=out)
+                s = summary
+                print(f"Pages: {s['pages']}\nTexts: {s['texts']}\nGraphics: {s['graphics']}", file=out)
+                print(f"Images: {s['images']} ({s['image_resources']} shared resources)", file=out)
+                print(f"Fonts: {s['fonts']}\nAnnotations: {s['annotations']}\nDiagnostics: {s['diagnostics']}", file=out)
+                for p in s.get("page_details", []):
+                    complete = str(p["interpretation_complete"]).lower()
+                    print(f"Page {p['page']}: texts={p['texts']} graphics={p['graphics']} images={p['images']} interpretation_complete={complete}", file=out)
         return 0
     finally:
         found.close()

@@ -84,7 +84,7 @@ class Document:
         self._busy: set[int] = set()
         self._decoded: dict[tuple[int, int, int], int] = {}
         self._containers: dict[int, tuple[int, list[tuple[int, int]]]] = {}
-        self._spent, self._parsed = 0, 0
+        self._spent = 0
 
     # --- opening
 
@@ -244,9 +244,6 @@ class Document:
         return Parser(self.sources[source].data, at, end, source, lim.max_depth, lim.max_token_bytes, lim.max_values)
 
     def _indirect_at(self, at: int, want: tuple[int, int] | None, direct_length: bool = False) -> Indirect:
-        self._parsed += 1
-        if self._parsed > 4 * self.limits.max_objects:
-            raise LimitError("object parse limit exceeded", at)
         p = self._parser(at)
         p.references = False
         n, g = p.token(), p.token()
@@ -376,14 +373,33 @@ class Document:
         o = self.resolve(o)
         return None if o is None or o.kind == "null" else o
 
+    def mapping(self, o: Obj | None, what: str) -> Dictionary:
+        """The dictionary an object is, or has as a stream; no key may stand in it twice."""
+        o = self.resolve(o)
+        if o is None or o.kind not in ("dictionary", "stream"):
+            raise PdfError(f"{what} is not a dictionary", o.start if o else -1)
+        d = o.value if o.kind == "dictionary" else o.value.dictionary
+        seen: set[bytes] = set()
+        for key, _ in d.entries:
+            if key in seen:
+                raise PdfError(f"duplicate key /{key.decode('latin-1')} in {what}", o.start)
+            seen.add(key)
+        return d
+
+    def name(self, d: Dictionary, key: bytes) -> bytes:
+        """The name under a key; empty where there is none, an error where it is something else."""
+        o = self.direct(d.get(key))
+        if o is None:
+            return b""
+        if o.kind != "name":
+            raise PdfError(f"/{key.decode('latin-1')} is not a name", o.start)
+        return o.value
+
     def catalog(self) -> Dictionary:
         root = self.trailer.get(b"Root")
         if root is None or root.kind != "reference":
             raise PdfError("trailer /Root is not a reference")
-        o = self.resolve(root)
-        if o.kind != "dictionary":
-            raise PdfError("catalog is not a dictionary")
-        return o.value
+        return self.mapping(root, "catalog")
 
     # --- streams and sources
 
@@ -397,7 +413,7 @@ class Document:
         get = self.direct if resolve else lambda o: None if o is None or o.kind == "null" else o
         if get(d.get(b"F")) is not None:
             raise UnsupportedError("external stream data")
-        f, parms = get(d.get(b"Filter")), get(d.get(b"DecodeParms")) or get(d.get(b"DP"))
+        f, parms = get(d.get(b"Filter")), get(d.get(b"DecodeParms"))
         if f is None:
             if parms is not None and not (parms.kind == "array" and not parms.value):
                 raise PdfError("DecodeParms without Filter")
@@ -409,11 +425,15 @@ class Document:
             each = [None] * len(names)
         elif parms.kind == "array":
             each = [get(x) for x in parms.value]
-        else:
+        elif parms.kind == "dictionary":
             each = [parms]
-        if len(each) != len(names) or any(x is not None and x.kind != "dictionary" for x in each):
+        else:
+            raise PdfError("DecodeParms is no dictionary or array")
+        # only Flate has parameters that matter here; what stands beside other filters is not looked at
+        flate = [filters.SHORT.get(n.value, n.value) == b"FlateDecode" for n in names]
+        if len(each) != len(names) or any(own and x is not None and x.kind != "dictionary" for own, x in zip(flate, each)):
             raise PdfError("DecodeParms do not match filters")
-        return [(n.value, x.value if x else None) for n, x in zip(names, each)]
+        return [(n.value, x.value if own and x else None) for own, n, x in zip(flate, names, each)]
 
     def decode(self, s: Stream, resolve: bool = True) -> int:
         """Source number of a stream's decoded bytes."""
@@ -424,7 +444,7 @@ class Document:
         data, steps = self.bytes(s.span), []
         for name, parms in self.filters_of(s.dictionary, resolve):
             data = filters.decode(name, data, self.limits.max_decoded_bytes - self._spent)
-            if parms is not None and filters.SHORT.get(name, name) == b"FlateDecode":
+            if parms is not None:
                 get = self.direct if resolve else lambda o: o
                 one = lambda k, default: integer(v) if (v := get(parms.get(k))) is not None else default  # noqa: E731,B023
                 data = filters.unpredict(data, one(b"Predictor", 1), one(b"Colors", 1), one(b"BitsPerComponent", 8), one(b"Columns", 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from .errors import LimitError, PdfError
@@ -89,7 +90,8 @@ def _target(raw: bytes) -> str:
 
 
 def parse_cmap(data: bytes, entries: int = ENTRIES, size: int = 256 << 20) -> CMap:
-    """A ToUnicode map; anything outside the supported form is an error."""
+    """A ToUnicode map; anything outside the supported form is an error. ENTRIES bound one map, `entries` what is left for all."""
+    entries = min(entries, ENTRIES)
     toks, error = lex(data)
     if error:
         raise error
@@ -104,7 +106,7 @@ def parse_cmap(data: bytes, entries: int = ENTRIES, size: int = 256 << 20) -> CM
     def put(key: bytes, text: str) -> None:
         nonlocal left
         left -= len(key) + len(text.encode())
-        if len(out.mapping) >= min(entries, ENTRIES) or left < 0:
+        if len(out.mapping) >= entries or left < 0:
             raise LimitError("ToUnicode map limit exceeded")
         if key in out.mapping:
             raise PdfError("duplicate ToUnicode mapping")
@@ -189,7 +191,8 @@ class Font:
     table: dict[int, str] | None = None
     composite: bool = False
     widths: dict[int, float] = field(default_factory=dict)
-    default: float | None = None
+    default: float = 0.0
+    default_known: bool = False
     scale: float = 0.001
     positioned: bool = False
     embedded: tuple[int, int, int] | None = None
@@ -203,72 +206,93 @@ class Font:
         t = self.table or {}
         return [(raw[i : i + 1], t.get(raw[i], REPLACEMENT), raw[i] in t) for i in range(len(raw))]
 
-    def width(self, code: bytes) -> float | None:
-        """Width in text space units per unit size; None if unknown."""
-        w = self.widths.get(int.from_bytes(code, "big"), self.default)
-        return None if w is None else w * self.scale
+    def width(self, code: bytes) -> tuple[float, bool]:
+        """Width in text space units per unit size, and whether it is known."""
+        w = self.widths.get(int.from_bytes(code, "big"))
+        return (self.default * self.scale, self.default_known) if w is None else (w * self.scale, True)
 
 
-def load_font(doc, o: Obj, index: int, layout: bool, full: bool, budget: list[int]) -> Font:
+@dataclass(slots=True)
+class UnicodeMaps:
+    """ToUnicode maps of a document by the span of their streams, each charged once: entries of all, and their bytes through `spend`."""
+
+    entries: int
+    spend: Callable[[int], None]
+    left: Callable[[], int]
+    known: dict[tuple[int, int, int], CMap] = field(default_factory=dict)
+
+    def read(self, doc, stream: Obj, diagnostics: list) -> CMap | None:
+        if stream.kind != "stream":
+            raise PdfError("ToUnicode is not a stream", stream.start)
+        if stream.span not in self.known:
+            try:
+                found = parse_cmap(doc.sources[doc.decode(stream.value)].data, self.entries, self.left())
+            except LimitError:
+                raise
+            except PdfError as e:
+                diagnostics.append(("unsupported-tounicode", str(e)))
+                return None
+            self.entries -= len(found.mapping)
+            self.spend(sum(len(k) + len(v.encode()) for k, v in found.mapping.items()))
+            self.known[stream.span] = found
+        return self.known[stream.span]
+
+
+def load_font(doc, o: Obj, index: int, layout: bool, full: bool, maps: UnicodeMaps) -> Font:
     """Read a font dictionary. layout asks for widths, full for its embedded program."""
-    get, d = doc.direct, o.value
-    if o.kind != "dictionary":
-        raise PdfError("font is not a dictionary", o.start)
-
-    def name(x: Obj | None) -> bytes | None:
-        return x.value if x is not None and x.kind == "name" else None
-
+    get, d = doc.direct, doc.mapping(o, "font")
     f = Font(index, o.span)
-    f.subtype, f.base_font = name(get(d.get(b"Subtype"))) or b"", name(get(d.get(b"BaseFont"))) or b""
+    f.subtype, f.base_font = doc.name(d, b"Subtype"), doc.name(d, b"BaseFont")
     f.composite = f.subtype == b"Type0"
     encoding = get(d.get(b"Encoding"))
-    descriptor = get(d.get(b"FontDescriptor"))
-    if f.composite:
-        below = get(d.get(b"DescendantFonts"))
-        if below is None or below.kind != "array" or len(below.value) != 1 or (child := get(below.value[0])) is None or child.kind != "dictionary":
-            raise PdfError("invalid DescendantFonts", o.start)
-        descriptor = get(child.value.get(b"FontDescriptor"))
-        if layout:
-            f.positioned = name(encoding) == b"Identity-H"
-            if f.positioned:
-                _cid_widths(doc, child.value, f)
-            else:
-                f.diagnostics.append(("unsupported-font-encoding", "only Identity-H positions are supported"))
-    else:
-        base, diffs = name(encoding), None
+    if layout:
+        _metrics(doc, d, encoding, f, full)
+    unicode = get(d.get(b"ToUnicode"))
+    if unicode is not None:
+        f.cmap = maps.read(doc, unicode, f.diagnostics)
+    if not f.composite:
+        base, diffs = encoding.value if encoding is not None and encoding.kind == "name" else None, None
         if encoding is not None and encoding.kind == "dictionary":
-            base, diffs = name(get(encoding.value.get(b"BaseEncoding"))), get(encoding.value.get(b"Differences"))
+            base, diffs = doc.name(encoding.value, b"BaseEncoding") or None, get(encoding.value.get(b"Differences"))
         f.table = simple_encoding(base, f.subtype, f.base_font, base is not None)
         if diffs is not None:
             _differences(doc, diffs, f)
-        if layout:
-            f.positioned = f.subtype in (b"Type1", b"MMType1", b"TrueType")
-            if f.subtype == b"Type3":
-                _type3(doc, d, f)
-            _simple_widths(doc, d, descriptor, f)
-            if f.subtype == b"Type3":
-                f.positioned = bool(f.widths)
-                if not f.positioned:
-                    f.diagnostics.append(("unsupported-type3-font", "Type3 font without widths"))
-    if full and descriptor is not None and descriptor.kind == "dictionary":
-        for key in (b"FontFile", b"FontFile2", b"FontFile3"):
-            if (x := get(descriptor.value.get(key))) is not None:
-                f.embedded = x.value.span if x.kind == "stream" else None
-                break
-    unicode = get(d.get(b"ToUnicode"))
-    if unicode is not None:
-        try:
-            if unicode.kind != "stream":
-                raise PdfError("ToUnicode is not a stream")
-            f.cmap = parse_cmap(doc.sources[doc.decode(unicode.value)].data, min(ENTRIES, budget[0]))
-            budget[0] -= len(f.cmap.mapping)
-        except LimitError:
-            raise
-        except PdfError as e:
-            f.diagnostics.append(("unsupported-tounicode", str(e)))
     return f
 
 
+def _metrics(doc, d: Dictionary, encoding: Obj | None, f: Font, full: bool) -> None:
+    """Widths, and what of the positions they give is not supported."""
+    f.positioned = f.subtype in (b"Type1", b"MMType1", b"TrueType")
+    metric = d
+    if f.subtype == b"Type3":
+        f.diagnostics.append(("unsupported-type3-font", "glyph procedures are kept unread; positions come from the font's widths"))
+        _type3_scale(doc, d, f)
+    if f.composite:
+        below = doc.direct(d.get(b"DescendantFonts"))
+        if below is None or below.kind != "array" or len(below.value) != 1:
+            raise PdfError("Type0 font needs one descendant", f.span[1])
+        metric = doc.mapping(below.value[0], "descendant font")
+        kind = encoding.value if encoding is not None and encoding.kind == "name" else None
+        f.positioned = f.default_known = kind == b"Identity-H"
+        if kind not in (b"Identity-H", b"Identity-V"):
+            f.diagnostics.append(("unsupported-font-encoding", "codes are not CIDs, so widths and positions may be incomplete"))
+        _cid_widths(doc, metric, f)
+    else:
+        _simple_widths(doc, d, f)
+    if f.subtype == b"Type3":
+        _type3_widths(doc, d, encoding, f)
+        f.positioned = bool(f.widths)
+    descriptor = doc.direct(metric.get(b"FontDescriptor"))
+    if descriptor is not None:
+        about = doc.mapping(descriptor, "font descriptor")
+        if full:
+            programs = (doc.direct(about.get(key)) for key in (b"FontFile", b"FontFile2", b"FontFile3"))
+            program = next((x for x in programs if x is not None), None)
+            f.embedded = program.value.span if program is not None and program.kind == "stream" else None
+        if (missing := doc.direct(about.get(b"MissingWidth"))) is not None and not f.composite:
+            f.default, f.default_known = number(missing), True
+
+
 def _differences(doc, diffs: Obj, f: Font) -> None:
     if diffs.kind != "array":
         raise PdfError("Differences is not an array", diffs.start)
@@ -290,17 +314,18 @@ def _differences(doc, diffs: Obj, f: Font) -> None:
         code += 1
 
 
-def _simple_widths(doc, d: Dictionary, descriptor: Obj | None, f: Font) -> None:
-    first, widths = doc.direct(d.get(b"FirstChar")), doc.direct(d.get(b"Widths"))
-    if first is not None and widths is not None:
-        start = integer(first)
-        if widths.kind != "array" or len(widths.value) > 256 or not 0 <= start <= 255:
-            raise PdfError("invalid font widths")
-        for i, x in enumerate(widths.value):
-            if start + i <= 255:
-                f.widths.setdefault(start + i, number(doc.resolve(x)))
-    if descriptor is not None and descriptor.kind == "dictionary" and (m := doc.direct(descriptor.value.get(b"MissingWidth"))) is not None:
-        f.default = number(m)
+def _simple_widths(doc, d: Dictionary, f: Font) -> None:
+    first = doc.direct(d.get(b"FirstChar"))
+    if first is None:
+        return
+    start, widths = integer(first), doc.direct(d.get(b"Widths"))
+    if not 0 <= start <= 255:
+        raise PdfError("FirstChar outside 0 to 255", first.start)
+    if widths is None:
+        return
+    if widths.kind != "array" or start + len(widths.value) > 256:
+        raise PdfError("Widths do not fit the codes of a simple font", widths.start)
+    f.widths |= {start + i: number(doc.resolve(x)) for i, x in enumerate(widths.value)}
 
 
 def _cid_widths(doc, d: Dictionary, f: Font) -> None:
@@ -317,6 +342,8 @@ def _cid_widths(doc, d: Dictionary, f: Font) -> None:
         if i + 1 >= len(items) or not 0 <= first <= 65_535:
             raise PdfError("malformed CID widths", w.start)
         if items[i + 1].kind == "array":
+            if first + len(items[i + 1].value) > 65_536:
+                raise PdfError("CID widths beyond 65535", w.start)
             for k, x in enumerate(items[i + 1].value):
                 f.widths[first + k] = number(doc.resolve(x))
             i += 2
@@ -331,32 +358,53 @@ def _cid_widths(doc, d: Dictionary, f: Font) -> None:
             i += 3
 
 
-def _type3(doc, d: Dictionary, f: Font) -> None:
+def _type3_scale(doc, d: Dictionary, f: Font) -> None:
     m = doc.direct(d.get(b"FontMatrix"))
     if m is not None:
         if m.kind != "array" or len(m.value) != 6:
-            raise PdfError("invalid FontMatrix", m.start)
-        f.scale = [number(doc.resolve(x)) for x in m.value][0]
-    procs, names = doc.direct(d.get(b"CharProcs")), doc.direct(d.get(b"Encoding"))
-    if procs is None or procs.kind != "dictionary" or names is None or names.kind != "dictionary":
+            raise PdfError("FontMatrix is not six numbers", m.start)
+        f.scale = number(doc.resolve(m.value[0]))
+
+
+def _type3_widths(doc, d: Dictionary, encoding: Obj | None, f: Font) -> None:
+    """Widths that glyph procedures set, which count more than the font's own."""
+    names = encoding.value if encoding is not None and encoding.kind == "dictionary" else Dictionary()
+    diffs, procs = doc.direct(names.get(b"Differences")), doc.direct(d.get(b"CharProcs"))
+    if diffs is None or procs is None:
         return
-    diffs = doc.direct(names.value.get(b"Differences"))
-    code = -1
-    for x in map(doc.resolve, diffs.value if diffs is not None and diffs.kind == "array" else []):
+    if diffs.kind != "array":
+        raise PdfError("Differences is not an array", diffs.start)
+    of, code = doc.mapping(procs, "CharProcs"), -1
+    for x in map(doc.resolve, diffs.value):
         if x.kind == "integer":
             code = integer(x)
-        elif x.kind == "name" and code >= 0:
-            p = doc.direct(procs.value.get(x.value))
-            if p is not None and p.kind == "stream" and (w := _char_width(doc.sources[doc.decode(p.value)].data)) is not None:
-                f.widths[code] = w
-            code += 1
+            continue
+        if x.kind != "name" or not 0 <= code <= 255:
+            raise PdfError("malformed Differences", x.start)
+        glyph = doc.direct(of.get(x.value))
+        if glyph is not None:
+            if glyph.kind != "stream":
+                raise PdfError("glyph procedure is not a stream", glyph.start)
+            width = _glyph_width(doc, glyph)
+            if width is not None:
+                f.widths[code] = width
+        code += 1
 
 
-def _char_width(data: bytes) -> float | None:
-    """The width a glyph procedure sets with its first operator, d0 or d1."""
+def _glyph_width(doc, glyph: Obj) -> float | None:
+    """The first operand of a glyph procedure's first d0 or d1; None where there is none or its data cannot be decoded."""
     from .syntax import Content
 
-    step = Content(data).next()
-    if step is None or step[0] not in (b"d0", b"d1") or len(step[1]) != (2 if step[0] == b"d0" else 6):
+    try:
+        source = doc.decode(glyph.value)
+    except LimitError:
+        raise
+    except PdfError:
         return None
-    return number(step[1][0])
+    content = Content(doc.sources[source].data, source, doc.limits.max_depth, doc.limits.max_token_bytes, doc.limits.max_values)
+    while (step := content.next(256)) is not None and step[0]:
+        if step[0] in (b"d0", b"d1"):
+            if not step[1]:
+                raise PdfError("glyph procedure sets no width", glyph.start)
+            return number(step[1][0])
+    return None

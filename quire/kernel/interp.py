@@ -8,8 +8,8 @@ from dataclasses import dataclass, field, replace
 from ..options import ANNOTATIONS, FULL, GRAPHICS, IMAGES, LAYOUT, TEXT, ParseOptions
 from .document import Document
 from .errors import LimitError, PdfError, UnsupportedError
-from .fonts import REPLACEMENT, Font, load_font
-from .syntax import Content, Dictionary, Obj, Stream, integer, number
+from .fonts import REPLACEMENT, Font, UnicodeMaps, load_font
+from .syntax import Content, Dictionary, Inline, Obj, Stream, integer, number
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 FORM_DEPTH, PAGE_DEPTH, STACK_DEPTH = 64, 128, 256
@@ -104,7 +104,7 @@ class Interpretation:
         lim = doc.limits
         self.depth = min(PAGE_DEPTH, lim.max_depth)
         self.left = {"semantic": lim.max_semantic_objects, "content": lim.max_content_bytes, "values": lim.max_values, "codes": lim.max_objects, "unicode": lim.max_decoded_bytes, "clips": lim.max_objects, "style": lim.max_values}
-        self.cmap_entries = [65_536]
+        self.maps = UnicodeMaps(lim.max_objects, lambda n: self.spend("unicode", n), lambda: self.left["unicode"])
 
     def spend(self, what: str, n: int = 1) -> None:
         self.left[what] -= n
@@ -128,10 +128,7 @@ class Interpretation:
         return self
 
     def _dict(self, o: Obj | None, what: str) -> Dictionary:
-        o = self.doc.resolve(o)
-        if o is None or o.kind != "dictionary":
-            raise PdfError(f"{what} is not a dictionary", o.start if o else -1)
-        return o.value
+        return self.doc.mapping(o, what)
 
     def _walk(self, root: Obj) -> None:
         # entries: (reference, inherited attributes, spans on the path); a stack keeps Kids order
@@ -141,14 +138,12 @@ class Interpretation:
             if len(path) >= self.depth:
                 raise LimitError("page tree depth limit exceeded")
             o = self.doc.resolve(ref)
-            if o.kind != "dictionary":
-                raise PdfError("page tree node is not a dictionary", o.start)
             if o.span in path:
-                raise PdfError("page tree cycle", o.start)
+                raise PdfError("page tree leads back to itself", o.start)
+            d = self.doc.mapping(o, "page tree node")
             self.spend("semantic")
-            get = lambda k, d=o.value: self.doc.direct(d.get(k))
-            kind = get(b"Type")
-            kind = kind.value if kind is not None and kind.kind == "name" else None
+            get = lambda k, d=d: self.doc.direct(d.get(k))
+            kind = self.doc.name(d, b"Type")
             only_notes = not self.content & (TEXT | GRAPHICS | IMAGES)
             keys = (b"MediaBox", b"CropBox", b"Rotate") if only_notes else (b"MediaBox", b"CropBox", b"Rotate", b"Resources")
             own = dict(above)
@@ -161,7 +156,7 @@ class Interpretation:
                     raise PdfError("page tree node without Kids", o.start)
                 todo += [(k, own, (*path, o.span)) for k in reversed(kids.value)]
             elif kind == b"Page":
-                self._page(ref, o, own)
+                self._page(ref, o, d, own)
             else:
                 raise PdfError("page tree node has an unknown type", o.start)
 
@@ -175,8 +170,8 @@ class Interpretation:
             raise PdfError("expected an array of numbers", o.start if o else -1)
         return [number(self.doc.resolve(x)) for x in o.value]
 
-    def _page(self, ref: Obj, o: Obj, own: dict) -> None:
-        get = lambda k: self.doc.direct(o.value.get(k))
+    def _page(self, ref: Obj, o: Obj, d: Dictionary, own: dict) -> None:
+        get = lambda k: self.doc.direct(d.get(k))
         page = Page(len(self.pages), o.span, *(ref.value if ref.kind == "reference" else (None, None)))
         if b"MediaBox" not in own:
             raise PdfError("page without MediaBox", o.start)
@@ -191,27 +186,31 @@ class Interpretation:
             page.user_unit = number(unit)
             if page.user_unit <= 0:
                 raise PdfError("UserUnit is not positive", unit.start)
+        drawn = bool(self.content & (TEXT | GRAPHICS | IMAGES))
+        resources, contents = Dictionary(), get(b"Contents") if drawn else None
+        if drawn and b"Resources" in own:
+            resources = self._dict(own[b"Resources"], "Resources")
+        if contents is not None and contents.kind not in ("stream", "array"):
+            raise PdfError("page Contents are neither a stream nor an array", contents.start)
         self.pages.append(page)
         try:
-            if self.content & (TEXT | GRAPHICS | IMAGES):
-                resources = self._dict(own[b"Resources"], "Resources") if b"Resources" in own else Dictionary()
-                self._contents(page, o, resources)
+            if contents is not None:
+                self._contents(page, contents, resources)
             if self.content & ANNOTATIONS:
-                self._annotations(page, o)
+                self._annotations(page, d)
         except PdfError:
             page.complete = False
             raise
 
-    def _contents(self, page: Page, o: Obj, resources: Dictionary) -> None:
-        c = self.doc.direct(o.value.get(b"Contents"))
-        if c is None:
-            return
-        parts = [c] if c.kind == "stream" else [x for x in map(self.doc.direct, c.value) if x is not None] if c.kind == "array" else None
-        if parts is None or any(x.kind != "stream" for x in parts):
-            raise PdfError("page Contents are not streams", c.start)
-        if not parts:
+    def _contents(self, page: Page, contents: Obj, resources: Dictionary) -> None:
+        sources = []
+        for x in [contents] if contents.kind == "stream" else map(self.doc.resolve, contents.value):
+            if x.kind != "stream":
+                raise PdfError("a member of the page Contents is not a stream", x.start)
+            sources.append(self.decoded(x.value))
+        if not sources:
             return
-        source = self.doc.join([self.decoded(x.value) for x in parts])
+        source = self.doc.join(sources)
         fold = Fold(self, page, resources)
         fold.read(source)
         if fold.in_text or fold.stack:
@@ -222,22 +221,18 @@ class Interpretation:
         self.spend("content", len(self.doc.sources[source].data))
         return source
 
-    def _annotations(self, page: Page, o: Obj) -> None:
-        notes = self.doc.direct(o.value.get(b"Annots"))
+    def _annotations(self, page: Page, d: Dictionary) -> None:
+        notes = self.doc.direct(d.get(b"Annots"))
         if notes is None:
             return
         if notes.kind != "array":
             raise PdfError("Annots is not an array", notes.start)
         for x in notes.value:
-            note = self.doc.direct(x)
-            if note is None or note.kind != "dictionary":
-                raise PdfError("annotation is not a dictionary", x.start)
             self.spend("semantic")
-            kind = self.doc.direct(note.value.get(b"Subtype"))
-            if kind is None or kind.kind != "name":
-                raise PdfError("annotation without Subtype", note.start)
-            box = self.doc.direct(note.value.get(b"Rect"))
-            row = {"subtype": kind.value.decode("latin-1"), "rect": self.rect(box) if box is not None else (0.0,) * 4}
+            note = self.doc.resolve(x)
+            about = self.doc.mapping(note, "annotation")
+            kind, box = self.doc.name(about, b"Subtype"), self.doc.direct(about.get(b"Rect"))
+            row = {"subtype": kind.decode("latin-1"), "rect": self.rect(box) if box is not None else (0.0,) * 4}
             if self.full:
                 row["source"] = {"spans": [note.span], "operations": [], "form_path": []}
             page.annotations.append(row)
@@ -248,7 +243,7 @@ class Interpretation:
         target = self.doc.resolve(o)
         if target.span not in self.fonts:
             self.spend("semantic")
-            f = load_font(self.doc, target, len(self.fonts), self.detail >= LAYOUT, self.full, self.cmap_entries)
+            f = load_font(self.doc, target, len(self.fonts), self.positions, self.full, self.maps)
             if o.kind == "reference":
                 f.num, f.gen = o.value
             self.fonts[target.span] = f
@@ -311,6 +306,8 @@ class Fold:
         self.path_spans: list[tuple] = []
         self.current = self.start = (0.0, 0.0)
         self.pending: str | None = None
+        self.started = False
+        self.spans: list[tuple] = []
 
     def read(self, source: int) -> None:
         lim = self.run.doc.limits
@@ -326,13 +323,24 @@ class Fold:
             self.span, self.index = (source, start, end), self.page.n_operations
             self.page.n_operations += 1
             name = op.decode("latin-1")
-            if self.run.full:
-                self.page.operations.append({"operator": name, "operands": [self.run.doc.bytes(o.span).decode("latin-1") for o in operands], "span": self.span, "form_path": list(self.form_path)})
+            self.spans = [*(o.span for o in operands), self.span] if self.run.full else []
             if op == b"BI":
-                self.inline(content)
+                none_of(operands)
+                found = content.inline_image()
+                pairs = (source, found.dict_start, found.dict_end)
+                self.spans = [pairs, self.span] if self.run.full else []
+                self.operation(name, [pairs])
+                self.inline(found, pairs)
                 continue
+            self.operation(name, [o.span for o in operands])
             self.execute(name, operands)
 
+    def operation(self, name: str, operands: list[tuple]) -> None:
+        """Keep an operator and its operands as written (an inline image: its dictionary) at the full level."""
+        if self.run.full:
+            written = [self.run.doc.bytes(span).decode("latin-1") for span in operands]
+            self.page.operations.append({"operator": name, "operands": written, "span": self.span, "form_path": list(self.form_path)})
+
     def execute(self, op: str, operands: list[Obj]) -> None:
         if op in _STYLE_ONLY and not self.run.styles:
             return
@@ -363,7 +371,7 @@ class Fold:
     def provenance(self, spans=None, operations=None) -> dict | None:
         if not self.run.full:
             return None
-        return {"spans": spans or [self.span], "operations": operations or [self.index], "form_path": list(self.form_path)}
+        return {"spans": spans or list(self.spans), "operations": operations or [self.index], "form_path": list(self.form_path)}
 
     def style(self) -> dict | None:
         if not self.run.styles:
@@ -499,12 +507,13 @@ class Fold:
     # --- paths
 
     def build(self, op, operands):
-        if not (self.run.content & GRAPHICS or self.run.styles):
-            return
         v = numbers_of(operands, {"m": 2, "l": 2, "c": 6, "v": 4, "y": 4, "h": 0, "re": 4}[op])
         m = self.g.ctm
-        if op not in ("m", "re") and not self.path:
-            raise PdfError(f"operator {op} without a current point")
+        if op not in ("m", "re") and not self.started:
+            raise PdfError(f"{op} before any m or re")
+        self.started = True
+        if not (self.run.content & GRAPHICS or self.run.styles):
+            return
         if op == "re":
             x, y, w, h = v
             points = [apply(m, *p) for p in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
@@ -522,7 +531,7 @@ class Fold:
             if op == "m":
                 self.start = self.current
         if not all(map(finite, points)):
-            raise PdfError("path coordinate overflow")
+            raise PdfError("a point of the path is not finite")
         self.run.spend("semantic")
         self.path.append((op, points))
         self.path_ops.append(self.index)
@@ -540,10 +549,10 @@ class Fold:
             self.path.append(("h", [self.start]))
             self.path_spans.append(self.span)
         if self.run.content & GRAPHICS and op != "n" and self.path:
-            self.emit(2, {"segments": [{"op": o, "points": p} for o, p in self.path], "paint": op, "stroke": op[0] in "SsBb", "fill": op not in ("S", "s"), "even_odd": op.endswith("*"), "style": self.style(), "state": self.state(), "source": self.provenance([self.span, *self.path_spans], [*self.path_ops, self.index])})
+            self.emit(2, {"segments": [{"op": o, "points": p} for o, p in self.path], "paint": op, "stroke": op[0] in "SsBb", "fill": op not in ("S", "s"), "even_odd": op.endswith("*"), "style": self.style(), "state": self.state(), "source": self.provenance([*self.spans, *self.path_spans], [*self.path_ops, self.index])})
         if self.pending:
             self.add_clip(self.path, self.pending == "W*")
-        self.path, self.path_ops, self.path_spans, self.pending = [], [], [], None
+        self.path, self.path_ops, self.path_spans, self.pending, self.started = [], [], [], None, False
 
     def add_clip(self, path: list, even_odd: bool) -> None:
         self.run.spend("clips", len(self.g.clip) + 1)
@@ -631,7 +640,7 @@ class Fold:
         g = self.g
         at = mul(g.ctm, self.tm)
         if not finite(at):
-            raise PdfError("text transformation overflow")
+            raise PdfError("the text matrix is not finite")
         text, glyphs, raw_codes, decoded, placed = [], [], [], True, self.placed
         for part in parts:
             if part.kind != "string":
@@ -641,7 +650,7 @@ class Fold:
                 if run.positions:
                     self.tm = mul(self.tm, (1, 0, 0, 1, -shift / 1000 * g.size * g.h_scale, 0))
                     if not finite(self.tm):
-                        raise PdfError("text displacement overflow")
+                        raise PdfError("a shift in TJ leaves the finite range")
                 continue
             raw = part.value[1]
             run.spend("codes", len(raw))
@@ -656,9 +665,9 @@ class Fold:
         joined = "".join(text)
         run.spend("unicode", len(joined.encode("utf-8", "surrogatepass")))
         if not decoded:
-            run.diagnose(self.page, "incomplete-text-decoding", "some character codes have no supported Unicode mapping", self.span)
+            run.diagnose(self.page, "incomplete-text-decoding", "no Unicode text is known for some codes", self.span)
         if run.positions and not placed:
-            run.diagnose(self.page, "incomplete-text-positioning", "some glyph widths or writing directions are unsupported", self.span)
+            run.diagnose(self.page, "incomplete-text-positioning", "widths or the writing direction of some glyphs are not known", self.span)
         row = {"unicode": joined, "font": {"base_font": g.font.base_font.decode("latin-1"), "subtype": g.font.subtype.decode("latin-1")} if g.font else None, "decode_complete": decoded, "style": self.style()}
         if run.positions:
             row |= {"font_size": g.size, "matrix": list(at), "rendering_mode": g.render, "position_complete": placed}
@@ -669,9 +678,9 @@ class Fold:
     def glyph(self, code: bytes, u: str, known: bool, glyphs: list) -> bool:
         """Place one code and move on; whether its width is known."""
         g = self.g
-        width = g.font.width(code) if g.font else None
-        sure = width is not None and g.font.positioned
-        advance = ((width or 0.0) * g.size + g.char_space) * g.h_scale
+        width, sure = g.font.width(code) if g.font else (0.0, False)
+        sure = sure and g.font.positioned
+        advance = (width * g.size + g.char_space) * g.h_scale
         if code == b" ":
             advance += g.word_space * g.h_scale
         m = mul(g.ctm, self.tm)
@@ -692,10 +701,9 @@ class Fold:
             row["matrix"] = list(self.g.ctm)
         self.emit(3, row)
 
-    def inline(self, content: Content) -> None:
-        found = content.inline_image()
+    def inline(self, found: Inline, pairs: tuple) -> None:
         if self.run.content & IMAGES:
-            target = Obj("stream", Stream(found.dictionary, self.span, found.start, found.end, self.span[0], found.boundary), self.span[1], content.parser.at, self.span[0])
+            target = Obj("stream", Stream(found.dictionary, pairs, found.start, found.end, self.span[0], found.boundary), self.span[1], found.end, self.span[0])
             self.place(self.run.image(None, target, found.dictionary, inline=True))
 
     def stray(self, op, operands):
@@ -734,7 +742,7 @@ class Fold:
         if target.span in run.active_forms:
             raise PdfError("form cycle", target.start)
         child = Fold(run, self.page, self.resources, self)
-        child.span, child.index = self.span, self.index
+        child.span, child.spans, child.index = self.span, self.spans, self.index
         if optional:
             child.set(complete=False)
         if run.full:
@@ -743,7 +751,7 @@ class Fold:
         if run.transforms and (m := get(b"Matrix")) is not None:
             ctm = mul(self.g.ctm, run.numbers(m, 6))
             if not finite(ctm):
-                raise PdfError("form transformation overflow")
+                raise PdfError("the form matrix is not finite")
             child.set(ctm=ctm)
         if run.styles:
             box = get(b"BBox")
@@ -752,7 +760,7 @@ class Fold:
             x0, y0, x1, y1 = run.rect(box)
             corners = [apply(child.g.ctm, *p) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
             if not all(map(finite, corners)):
-                raise PdfError("clipping coordinate overflow")
+                raise PdfError("a corner of the form box is not finite")
             child.add_clip([("re", corners)], False)
         if (own := get(b"Resources")) is not None:
             child.resources = run._dict(own, "Resources")

@@ -64,7 +64,7 @@ def interpret(data: bytes, options: ParseOptions) -> dict:
         )
     found = [{"severity": 2, "code": c, "message": m, "page": p, "span": span(s)} for p, c, m, s in (run.diagnostics if run else [])]
     found += [{"severity": 2, "code": c, "message": m, "page": -1, "span": span(s)} for c, m, s in doc.diagnostics]
-    fonts = [{"index": f.index, "num": f.num, "gen": f.gen, "subtype": f.subtype.decode("latin-1"), "base_font": f.base_font.decode("latin-1"), "decode_supported": f.cmap is not None or bool(f.table), "widths_known": bool(f.widths) or f.default is not None, "positioning_supported": f.positioned, "embedded": span(f.embedded)} for f in (run.fonts.values() if run else [])]
+    fonts = [{"index": f.index, "num": f.num, "gen": f.gen, "subtype": f.subtype.decode("latin-1"), "base_font": f.base_font.decode("latin-1"), "decode_supported": f.cmap is not None or bool(f.table), "widths_known": bool(f.widths) or f.default_known, "positioning_supported": f.positioned, "embedded": span(f.embedded)} for f in (run.fonts.values() if run else [])]
     images = [r | {"object": span(r["object"])} for r in (run.image_resources.values() if run else [])]
     return {"loaded": loaded, "length": len(data), "version_major": doc.version[0] if doc.version else None, "version_minor": doc.version[1] if doc.version else None, "header_start": doc.header_at if doc.version else None, "encrypted": doc.encrypted, "content": options.content, "detail": options.detail, "pages": pages, "fonts": fonts, "image_resources": images, "diagnostics": found, "error": error}
 
@@ -98,29 +98,47 @@ def flatten(o: Obj) -> list[dict]:
     return out
 
 
-def structure(data: bytes, options: ParseOptions) -> dict:
-    """Cross-reference records, all indirect objects as node rows, regions and sources of one document."""
+def sources(data: bytes, options: ParseOptions | None) -> dict[int, bytes]:
+    """Bytes of every source that reading a document gives rise to: its structure, or (with options) its pages."""
+    doc = Document(data, (options or ParseOptions()).checked().limits)
+    try:
+        doc.open()
+        if options is not None:
+            Interpretation(doc, options.checked()).run()
+        else:
+            _objects(doc)
+    except (PdfError, RecursionError):
+        pass
+    return {i: s.data for i, s in doc.sources.items()}
+
+
+def stream_bytes(data: bytes | None, ids: list[tuple[int, int]], limits) -> list[tuple[bytes | None, str | None]]:
+    """(decoded bytes, error) of each stream object."""
+    if data is None:
+        return [(None, "no content")] * len(ids)
+    doc, out = Document(data, limits), []
+    try:
+        doc.open()
+    except PdfError as e:
+        return [(None, str(e))] * len(ids)
+    for num, gen in ids:
+        try:
+            body = doc.load(num, gen).body
+            if body.kind != "stream":
+                raise PdfError(f"object {num} is not a stream")
+            out.append((doc.sources[doc.decode(body.value)].data, None))
+        except PdfError as e:
+            out.append((None, str(e)))
+    return out
+
+
+def structure(data: bytes, options: ParseOptions, keep_data: bool = False) -> dict:
+    """Cross-reference records, all indirect objects as node rows, regions and sources of one document; keep_data: also what streams decode to."""
     doc, error = Document(data, options.limits), None
     objects, nodes = [], []
     try:
         doc.open()
-        ids = sorted({(e.num, e.b if e.kind == "in_use" else 0) for e in doc.entries.values() if e.kind in ("in_use", "compressed")})
-        for num, gen in ids:
-            try:
-                o = doc.load(num, gen)
-            except PdfError as e:
-                objects.append({"num": num, "gen": gen, "origin": "error", "container": None, "index": None, "start": None, "end": None, "payload": None, "message": str(e)})
-                continue
-            payload = None
-            if o.body.kind == "stream":
-                payload = span(o.body.value.span)
-                if not doc.encrypted:
-                    try:
-                        doc.decode(o.body.value)
-                    except PdfError:
-                        pass
-            objects.append({"num": num, "gen": gen, "origin": o.origin, "container": o.container, "index": o.index, "start": o.start, "end": o.end, "payload": payload, "message": None})
-            nodes += [{"num": num, "gen": gen} | n for n in flatten(o.body)]
+        objects, nodes = _objects(doc)
     except PdfError as e:
         error = {"class": e.kind, "message": str(e), "page": -1}
     records = [{"section": s.order, "section_kind": s.kind, "hybrid": s.hybrid, "num": e.num, "entry_type": e.kind, "field_a": e.a, "field_b": e.b} for s in doc.sections for e in s.entries]
@@ -128,5 +146,30 @@ def structure(data: bytes, options: ParseOptions) -> dict:
     return {
         "length": len(data), "encrypted": doc.encrypted, "error": error, "records": records, "objects": objects, "nodes": nodes, "trailer": trailer,
         "regions": [{"kind": k, "start": s, "end": e} for s, e, k in doc.region_map()],
-        "sources": [{"source": i, "size": len(s.data), "origin": s.origin, "inputs": [span(x) for x in s.inputs], "steps": [{"kind": k, "name": n.decode("latin-1")} for k, n in s.steps], "data": s.data if i > 1 else None} for i, s in doc.sources.items()],
+        "sources": [{"source": i, "size": len(s.data), "origin": s.origin, "inputs": [span(x) for x in s.inputs], "steps": [{"kind": k, "name": n.decode("latin-1")} for k, n in s.steps], "data": s.data if i > 1 and keep_data else None} for i, s in doc.sources.items()],
     }
+
+
+def _objects(doc: Document) -> tuple[list[dict], list[dict]]:
+    """Object rows and node rows of every object in force; each stream is decoded on the way."""
+    objects, nodes = [], []
+    ids = sorted({(e.num, e.b if e.kind == "in_use" else 0) for e in doc.entries.values() if e.kind in ("in_use", "compressed")})
+    for num, gen in ids:
+        me = {"num": num, "gen": gen}
+        try:
+            o = doc.load(num, gen)
+        except PdfError as e:
+            nothing = dict.fromkeys(("container", "index", "start", "end", "payload"))
+            objects.append(me | nothing | {"origin": "error", "message": str(e)})
+            continue
+        payload = None
+        if o.body.kind == "stream":
+            payload = span(o.body.value.span)
+            if not doc.encrypted:
+                try:
+                    doc.decode(o.body.value)
+                except PdfError:
+                    pass
+        objects.append(me | {"origin": o.origin, "container": o.container, "index": o.index, "start": o.start, "end": o.end, "payload": payload, "message": None})
+        nodes += [me | n for n in flatten(o.body)]
+    return objects, nodes

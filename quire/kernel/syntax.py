@@ -307,6 +307,8 @@ class Inline:
     start: int
     end: int
     boundary: str
+    dict_start: int = 0
+    dict_end: int = 0
 
 
 class Content:
@@ -331,6 +333,7 @@ class Content:
     def inline_image(self) -> Inline:
         """What follows BI, up to and with EI."""
         p, pairs = self.parser, []
+        dict_start = p.at
         while True:
             o = p.value(allow_keyword=True)
             if o is None:
@@ -360,7 +363,7 @@ class Content:
             if end > len(self.data) or not m:
                 raise PdfError("inline image data is not followed by EI", end)
             p.at = m.end()
-            return Inline(d, start, end, boundary)
+            return Inline(d, start, end, boundary, dict_start, o.start)
         at = start
         for _ in range(_CANDIDATES):
             m = re.compile(rb"[\x00\t\n\f\r ]EI(?=[\x00\t\n\f\r ()<>\[\]{}/%]|\Z)").search(self.data, at)
@@ -368,7 +371,7 @@ class Content:
                 break
             if self._plausible(m.end()):
                 p.at = m.end()
-                return Inline(d, start, m.start(), "recovered")
+                return Inline(d, start, m.start(), "recovered", dict_start, o.start)
             at = m.start() + 1
         raise PdfError("inline image end not found", start)
 

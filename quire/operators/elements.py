@@ -88,15 +88,22 @@ class Parsed:
 
     def summary_json(self) -> DataFrame:
         """doc_id, json: counts with the pages' own counts inside."""
-        pages = self.page_counts().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "complete", "texts", "graphics", "images"))).alias("page_details"))
+        pages = self.page_counts().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.col("complete").alias("interpretation_complete"), "texts", "graphics", "images"))).alias("page_details"))
         keys = ["pages", "texts", "graphics", "images", "image_resources", "fonts", "annotations", "diagnostics"]
         return self.summary().join(pages, "doc_id", "left").select("doc_id", F.to_json(F.struct(*keys, "page_details")).alias("json"))
 
     def result_json(self) -> DataFrame:
-        """doc_id, json of each page's kinds without what is empty; bytes as base64."""
-        some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
-        page = F.struct("page", "media_box", "crop_box", "rotate", "user_unit", "complete", some("texts"), some("graphics"), some("images"), some("annotations"))
-        return self._pages().groupBy("doc_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(page)).alias("pages"))).alias("json"))
+        """doc_id, json of the whole result without what is empty: content, detail, pages, image resources, diagnostics; bytes as base64."""
+        some = lambda c, name: F.when(F.size(c) > 0, F.col(c)).alias(name)
+        kinds = ("texts", "graphics", "images", "annotations", "operations")
+        page = F.to_json(F.struct("page", "media_box", "crop_box", "rotate", "user_unit", "complete", *(some(c, c) for c in kinds)))
+        listed = F.array_sort(F.collect_list(F.struct("page", page.alias("j"))))
+        pages = self._pages().groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["j"]), ",").alias("_pages"))
+        detail = F.when(F.col("file.detail") > 0, F.col("file.detail")).alias("detail")
+        rest = F.to_json(F.struct(F.col("file.content").alias("content"), detail, some("file.image_resources", "image_resources"), some("file.diagnostics", "diagnostics")))
+        files = self.rows.filter("page = -1").select("doc_id", rest.alias("_rest")).join(pages, "doc_id", "left")
+        whole = F.concat(F.expr("substring(_rest, 1, length(_rest) - 1)"), F.lit(',"pages":['), F.coalesce("_pages", F.lit("")), F.lit("]}"))
+        return files.select("doc_id", whole.alias("json"))
 
     def plain_text(self) -> DataFrame:
         """doc_id, text: a line per show operation, a form feed line between pages."""

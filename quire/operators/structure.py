@@ -1,9 +1,16 @@
-"""File structure as tables: precedence, references and the page tree in SQL over what the kernel found."""
+"""File structure as tables: precedence, references, the page tree, regions and bytes, over what the kernel found."""
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..options import Limits, ParseOptions
 
 
 class Structure:
@@ -59,57 +66,46 @@ class Structure:
         return out if strict else out.withColumn("kind", F.coalesce("kind", F.lit("null")))
 
     def chains(self, references: DataFrame, depth: int = 256) -> DataFrame:
-        """References followed to the end: hops, kind, lexeme, error (cycle or depth limit). One level a recursion step."""
-        spark = self.rows.sparkSession
-        every = self.nodes().filter("parent_id IS NULL").select("doc_id", F.col("num"), F.col("gen"), "kind", "lexeme", "ref_num", "ref_gen")
-        usable = self.resolved_xref().filter("entry_type IN ('in_use', 'compressed')").select("doc_id", "num", F.when(F.col("entry_type") == "in_use", F.col("field_b")).otherwise(0).cast("int").alias("gen"))
-        # each recursion step reads these again: kept, or the byte kernel would run once a step
-        every.join(usable, ["doc_id", "num", "gen"]).persist().createOrReplaceTempView("_quire_objects")
-        references.select("doc_id", "ref_num", "ref_gen").distinct().createOrReplaceTempView("_quire_refs")
-        return spark.sql(f"""
-            WITH RECURSIVE step(doc_id, first_num, first_gen, num, gen, hops, path, kind, lexeme, cyclic) MAX RECURSION LEVEL {depth + 2} AS (
-              SELECT doc_id, ref_num, ref_gen, ref_num, ref_gen, 0, array(concat(ref_num, ' ', ref_gen)), 'reference', CAST(NULL AS STRING), false FROM _quire_refs
-              UNION ALL
-              SELECT s.doc_id, s.first_num, s.first_gen, coalesce(o.ref_num, s.num), coalesce(o.ref_gen, s.gen), s.hops + 1,
-                     concat(s.path, array(concat(o.ref_num, ' ', o.ref_gen))), coalesce(o.kind, 'null'), o.lexeme,
-                     coalesce(array_contains(s.path, concat(o.ref_num, ' ', o.ref_gen)), false)
-              FROM step s LEFT JOIN _quire_objects o ON s.doc_id = o.doc_id AND s.num = o.num AND s.gen = o.gen
-              WHERE s.kind = 'reference' AND NOT s.cyclic AND s.hops <= {depth})
-            SELECT doc_id, first_num, first_gen, max_by(hops, hops) AS hops,
-                   CASE WHEN max_by(cyclic, hops) THEN NULL WHEN max(hops) > {depth} THEN NULL ELSE max_by(kind, hops) END AS kind,
-                   CASE WHEN max_by(cyclic, hops) OR max(hops) > {depth} THEN NULL ELSE max_by(lexeme, hops) END AS lexeme,
-                   CASE WHEN max_by(cyclic, hops) THEN 'cycle' WHEN max(hops) > {depth} THEN 'limit' END AS error
-            FROM step GROUP BY doc_id, first_num, first_gen""")
+        """References (doc_id, ref_num, ref_gen) followed to the end: hops, kind, lexeme, error (cycle or limit).
+
+        A chain never leaves its document, so each document's references meet its objects in one group and are
+        followed there; no step is a join, and nothing but a document's own size bounds a group.
+        """
+        roots = self.nodes().filter("parent_id IS NULL").select("doc_id", "num", "gen", "kind", "lexeme", "ref_num", "ref_gen")
+        in_force = F.when(F.col("entry_type") == "in_use", F.col("field_b")).otherwise(0).cast("int").alias("gen")
+        usable = self.resolved_xref().filter("entry_type IN ('in_use', 'compressed')").select("doc_id", "num", in_force)
+        objects = roots.join(usable, ["doc_id", "num", "gen"])
+        wanted = references.select("doc_id", "ref_num", "ref_gen").distinct()
+        kind = wanted.schema["doc_id"].dataType.simpleString()
+        out = f"doc_id {kind}, first_num bigint, first_gen int, hops int, kind string, lexeme string, error string"
+        arrow = to_arrow_schema(T.StructType.fromDDL(out))
+
+        def run(asked: pa.Table, found: pa.Table) -> pa.Table:
+            at = {(r["num"], r["gen"]): r for r in found.to_pylist()}
+            rows = [{"doc_id": r["doc_id"], "first_num": r["ref_num"], "first_gen": r["ref_gen"]} | _follow(at, (r["ref_num"], r["ref_gen"]), depth) for r in asked.to_pylist()]
+            return pa.Table.from_pylist(rows, arrow)
+
+        return wanted.groupBy("doc_id").cogroup(objects.groupBy("doc_id")).applyInArrow(run, out)
 
     def page_tree(self, depth: int = 128) -> DataFrame:
-        """doc_id, page, num and inherited rotate / media box of each page, by a recursive query over dictionary entries."""
-        spark = self.rows.sparkSession
-        nodes = self.nodes()
-        nodes.persist().createOrReplaceTempView("_quire_nodes")
-        self.trailer().createOrReplaceTempView("_quire_trailer")
-        spark.sql("""
-            SELECT k.doc_id, k.num, i.ref_num AS kid, i.ord FROM _quire_nodes k JOIN _quire_nodes i
-            ON i.doc_id = k.doc_id AND i.num = k.num AND i.parent_id = k.node_id WHERE k.dict_key = 'Kids' AND k.depth = 1""").createOrReplaceTempView("_quire_kids")
-        spark.sql("""
-            SELECT n.doc_id, n.num, max(CASE WHEN dict_key = 'Type' THEN decode(bytes, 'ISO-8859-1') END) AS type,
-                   max(CASE WHEN dict_key = 'Rotate' AND kind = 'integer' THEN CAST(lexeme AS INT) END) AS rotate,
-                   max(b.box) AS media_box
-            FROM _quire_nodes n LEFT JOIN (
-              SELECT a.doc_id, a.num, transform(array_sort(collect_list(struct(v.ord, CAST(v.lexeme AS DOUBLE) AS x))), s -> s.x) AS box
-              FROM _quire_nodes a JOIN _quire_nodes v ON v.doc_id = a.doc_id AND v.num = a.num AND v.parent_id = a.node_id
-              WHERE a.dict_key = 'MediaBox' AND a.depth = 1 GROUP BY a.doc_id, a.num) b ON b.doc_id = n.doc_id AND b.num = n.num
-            WHERE n.depth = 1 GROUP BY n.doc_id, n.num""").createOrReplaceTempView("_quire_attributes")
-        return spark.sql(f"""
-            WITH RECURSIVE walk(doc_id, num, type, rotate, media_box, place, path) MAX RECURSION LEVEL {depth + 2} AS (
-              SELECT t.doc_id, p.ref_num, a.type, a.rotate, a.media_box, array(0), array(p.ref_num)
-              FROM _quire_trailer t JOIN _quire_nodes p ON p.doc_id = t.doc_id AND p.num = t.ref_num AND p.depth = 1 AND p.dict_key = 'Pages'
-              JOIN _quire_attributes a ON a.doc_id = t.doc_id AND a.num = p.ref_num WHERE t.dict_key = 'Root'
-              UNION ALL
-              SELECT w.doc_id, k.kid, a.type, coalesce(a.rotate, w.rotate), coalesce(a.media_box, w.media_box), concat(w.place, array(k.ord)), concat(w.path, array(k.kid))
-              FROM walk w JOIN _quire_kids k ON k.doc_id = w.doc_id AND k.num = w.num JOIN _quire_attributes a ON a.doc_id = w.doc_id AND a.num = k.kid
-              WHERE size(w.path) < {depth} AND NOT array_contains(w.path, k.kid))
-            SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INT) AS page, num,
-                   CAST(coalesce(rotate, 0) % 360 AS INT) AS rotate, media_box FROM walk WHERE type = 'Page'""")
+        """doc_id, page, num, gen and inherited attributes of each page, from the objects' nodes alone.
+
+        Each document's row is walked where it lies: no shuffle. media_box and crop_box are as written; resources is
+        the number of the object that holds the dictionary in force (null if there is none). A tree that is too deep,
+        leads back to itself or is malformed gives one row with `error` after the pages before it.
+        """
+        kind = self.rows.schema["doc_id"].dataType.simpleString()
+        out = f"doc_id {kind}, page int, num bigint, gen int, rotate int, media_box array<double>, crop_box array<double>, user_unit double, resources bigint, error string"
+        arrow = to_arrow_schema(T.StructType.fromDDL(out))
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    found = [{"doc_id": row["doc_id"]} | p for p in Tree(row["nodes"] or [], row["trailer"] or []).pages(depth)]
+                    yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+        return self.rows.select("doc_id", "nodes", "trailer").mapInArrow(run, out)
 
     def duplicate_keys(self) -> DataFrame:
         """Dictionaries with a key that stands twice."""
@@ -122,8 +118,173 @@ class Structure:
         return self.objects().filter("origin != 'error'").join(used, ["doc_id", "num"], "left_anti")
 
 
+def _follow(objects: dict, first: tuple, depth: int) -> dict:
+    """Hops from a reference to a value, and the value's kind and lexeme; an undefined object is null."""
+    path, hops, kind, lexeme = [first], 0, "reference", None
+    while kind == "reference":
+        if hops > depth:
+            return {"hops": hops, "kind": None, "lexeme": None, "error": "limit"}
+        hops += 1
+        o = objects.get(path[-1])
+        if o is None:
+            return {"hops": hops, "kind": None if hops > depth else "null", "lexeme": None, "error": "limit" if hops > depth else None}
+        kind, lexeme = o["kind"], o["lexeme"]
+        if kind == "reference":
+            after = (o["ref_num"], o["ref_gen"])
+            if after in path:
+                return {"hops": hops, "kind": None, "lexeme": None, "error": "cycle"}
+            path.append(after)
+    over = hops > depth
+    return {"hops": hops, "kind": None if over else kind, "lexeme": None if over else lexeme, "error": "limit" if over else None}
+
+
+class Tree:
+    """The page tree of one document, out of the node rows of its objects."""
+
+    INHERITED = ("MediaBox", "CropBox", "Rotate", "Resources")
+
+    def __init__(self, nodes: list[dict], trailer: list[dict]):
+        self.below: dict[tuple, list[dict]] = {}
+        self.roots: dict[tuple, dict] = {}
+        for n in nodes:
+            if n["parent_id"] is None:
+                self.roots[n["num"], n["gen"]] = n
+            else:
+                self.below.setdefault((n["num"], n["parent_id"]), []).append(n)
+        self.top = next((n for n in trailer if n["depth"] == 1 and n["dict_key"] == "Root"), None)
+
+    def value(self, node: dict | None, hops: int = 256) -> dict | None:
+        """The node a reference leads to; None where it is undefined or null."""
+        while node is not None and node["kind"] == "reference":
+            if not hops:
+                raise ValueError("reference depth limit exceeded")
+            node, hops = self.roots.get((node["ref_num"], node["ref_gen"])), hops - 1
+        return None if node is None or node["kind"] == "null" else node
+
+    def entries(self, node: dict) -> dict[str, dict]:
+        found: dict[str, dict] = {}
+        for n in self.below.get((node["num"], node["node_id"]), []):
+            if n["dict_key"] in found:
+                raise ValueError(f"duplicate key /{n['dict_key']}")
+            found[n["dict_key"]] = n
+        return found
+
+    def items(self, node: dict | None) -> list[dict]:
+        if node is None or node["kind"] != "array":
+            raise ValueError("expected an array")
+        return sorted(self.below.get((node["num"], node["node_id"]), []), key=lambda n: n["ord"])
+
+    def numbers(self, node: dict | None) -> list[float]:
+        found = [self.value(n) for n in self.items(node)]
+        if any(n is None or n["kind"] not in ("integer", "real") for n in found):
+            raise ValueError("expected numbers")
+        return [float(n["lexeme"]) for n in found]
+
+    def pages(self, depth: int):
+        """Rows of the pages in order, and a last one with an error if the walk could not end."""
+        count = 0
+        try:
+            root = self.value(self.top)
+            todo = [(self.entries(root).get("Pages") if root else None, {}, ())]
+            while todo:
+                ref, above, path = todo.pop()
+                node = self.value(ref)
+                if node is None or node["kind"] not in ("dictionary", "stream"):
+                    raise ValueError("page tree node is not a dictionary")
+                me = (node["num"], node["gen"], node["node_id"])
+                if len(path) >= depth:
+                    raise ValueError("page tree depth limit exceeded")
+                if me in path:
+                    raise ValueError("page tree leads back to itself")
+                own = self.entries(node)
+                known = above | {k: (v, own[k]) for k in self.INHERITED if k in own and (v := self.value(own[k])) is not None}
+                kind = self.value(own.get("Type"))
+                kind = bytes(kind["bytes"]).decode("latin-1") if kind and kind["kind"] == "name" else None
+                if kind == "Pages":
+                    todo += [(k, known, (*path, me)) for k in reversed(self.items(self.value(own.get("Kids"))))]
+                    continue
+                if kind != "Page" or "MediaBox" not in known:
+                    raise ValueError("page without MediaBox" if kind == "Page" else "page tree node has an unknown type")
+                yield {"page": count} | self.page(ref, node, own, known)
+                count += 1
+        except ValueError as e:
+            yield {"page": count, "error": str(e)}
+
+    def page(self, ref: dict, node: dict, own: dict, known: dict) -> dict:
+        box = {k: self.numbers(known[k][0]) for k in ("MediaBox", "CropBox") if k in known}
+        turn = int(known["Rotate"][0]["lexeme"]) if "Rotate" in known else 0
+        unit, where = self.value(own.get("UserUnit")), known.get("Resources")
+        return {
+            "num": ref["ref_num"], "gen": ref["ref_gen"], "rotate": int(math.fmod(turn, 360)), "media_box": box["MediaBox"], "crop_box": box.get("CropBox", box["MediaBox"]),
+            "user_unit": float(unit["lexeme"]) if unit else 1.0, "resources": where[0]["num"] if where else None, "error": None,
+        }
+
+
 def bytes_of(spans: DataFrame, contents: DataFrame, content_col: str = "content") -> DataFrame:
-    """Spans (doc_id, start, end) of source 1 with their bytes, by an equi-join on the document."""
-    inside = spans.join(contents.select("doc_id", F.col(content_col).alias("_c")), "doc_id")
-    ok = (F.col("start") >= 0) & (F.col("start") <= F.col("end")) & (F.col("end") <= F.octet_length("_c"))
-    return inside.withColumn("bytes", F.when(ok, F.expr("substring(_c, CAST(start AS INT) + 1, CAST(end - start AS INT))"))).drop("_c")
+    """Spans (doc_id, start, end and any other columns) of the file with their bytes.
+
+    A document's spans are gathered into one row before they meet its bytes, so a file is moved once however many
+    spans it has; cutting is a JVM expression. Null where a span lies outside the file.
+    """
+    rest = [c for c in spans.columns if c != "doc_id"]
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("_spans"))
+    inside = listed.join(contents.select("doc_id", F.col(content_col).alias("_content")), "doc_id")
+
+    def cut(s):
+        ok = (s["start"] >= 0) & (s["start"] <= s["end"]) & (s["end"] <= F.octet_length("_content"))
+        piece = F.substring("_content", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
+        return F.struct(*(s[c].alias(c) for c in rest), F.when(ok, piece).alias("bytes"))
+
+    return inside.select("doc_id", F.explode(F.transform("_spans", cut)).alias("_s")).select("doc_id", "_s.*")
+
+
+def source_bytes(spans: DataFrame, contents: DataFrame, options: ParseOptions | None = None, content_col: str = "content") -> DataFrame:
+    """Spans (doc_id, source, start, end and others) of any source with their bytes: the file, decoded streams, joined contents.
+
+    Sources are numbered as they arise, so this repeats the reading that gave the spans: parse_structure()'s, or that
+    of parse() under `options`. A document's spans and its bytes meet in one row. Null where a span has no source.
+    """
+    rest = [c for c in spans.columns if c != "doc_id"]
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("spans"))
+    given = listed.join(contents.select("doc_id", F.col(content_col).alias("content")), "doc_id")
+    out = T.StructType([*spans.schema.fields, T.StructField("bytes", T.BinaryType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        from ..kernel.rows import sources
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                known = sources(row["content"], options) if row["content"] is not None else {}
+                found = []
+                for s in row["spans"]:
+                    data = known.get(s["source"])
+                    ok = data is not None and 0 <= s["start"] <= s["end"] <= len(data)
+                    found.append({"doc_id": row["doc_id"]} | s | {"bytes": data[s["start"] : s["end"]] if ok else None})
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    return given.select("doc_id", "spans", "content").mapInArrow(run, out)
+
+
+def stream_data(streams: DataFrame, contents: DataFrame, limits: Limits | None = None, content_col: str = "content") -> DataFrame:
+    """Decoded bytes of stream objects (doc_id, num, gen and others): image pixels, font programs, embedded files.
+
+    Only the asked streams are decoded. `error` says why there are no bytes.
+    """
+    rest = [c for c in streams.columns if c != "doc_id"]
+    listed = streams.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("streams"))
+    given = listed.join(contents.select("doc_id", F.col(content_col).alias("content")), "doc_id")
+    out = T.StructType([*streams.schema.fields, T.StructField("bytes", T.BinaryType()), T.StructField("error", T.StringType())])
+    arrow, limits = to_arrow_schema(out), (limits or Limits()).checked()
+
+    def run(batches):
+        from ..kernel.rows import stream_bytes
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                decoded = stream_bytes(row["content"], [(s["num"], s["gen"]) for s in row["streams"]], limits)
+                yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"]} | s | {"bytes": d, "error": e} for s, (d, e) in zip(row["streams"], decoded)], schema=arrow)
+
+    return given.select("doc_id", "streams", "content").mapInArrow(run, out)

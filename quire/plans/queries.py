@@ -305,7 +305,7 @@ def annotations(spark, sf_dir):
 
 def _filtered(spark, sf_dir, encode, names: bytes) -> DataFrame:
     docs = pdfs(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda r: w.pages([b""], extra=[w.stream(encode((r["text"] or "").encode()), b"/Filter" + names)]), "doc_id")
-    objects = parse_structure(docs).select("doc_id", F.explode("sources").alias("s"), "objects")
+    objects = parse_structure(docs, keep_data=True).select("doc_id", F.explode("sources").alias("s"), "objects")
     payload = F.get(F.filter("objects", lambda o: o["num"] == 5), F.lit(0))["payload"]
     own = objects.filter((F.get("s.inputs", F.lit(0))["start"] == payload["start"]) & (F.col("s.origin") == "decoded"))
     return own.select("doc_id", F.md5("s.data").alias("digest"), F.col("s.size").alias("n_bytes"))
@@ -436,7 +436,7 @@ def page_inherit(spark, sf_dir):
 @query(f"SELECT n_regionkey AS doc_id, {_PAGE} AS page, CAST(CASE WHEN n_nationkey % 2 = 1 THEN 90 * (n_nationkey % 4) ELSE -90 END AS INT) AS rotate, CAST(CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey ELSE 7 END AS DOUBLE) AS x1 {_TREE}")
 def page_tree_sql(spark, sf_dir):
     tree = Structure(parse_structure(_tree_docs(spark, sf_dir))).page_tree()
-    return tree.select("doc_id", "page", "rotate", F.greatest(F.col("media_box")[0], F.col("media_box")[2]).alias("x1"))
+    return tree.filter("error IS NULL").select("doc_id", "page", "rotate", F.greatest(F.col("media_box")[0], F.col("media_box")[2]).alias("x1"))
 
 
 @query("SELECT CAST(r_regionkey AS INT) AS doc_id, true AS covered, true AS disjoint FROM region")
@@ -537,10 +537,14 @@ def parse_object(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import edge_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import edge_queries  # noqa: F401
+
     return dict(ORACLES)
 
 

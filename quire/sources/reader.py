@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import schema
 from ..options import ParseOptions
 
-#: Pages sent back to the JVM at once.
-PAGES = 64
+#: Pages, and elements on them, sent back to the JVM at once (a page with more goes alone).
+PAGES, ELEMENTS = 64, 4096
+#: Names looked at in a folder; a path to a file is read whatever its name.
+PATTERN = "*.[pP][dD][fF]"
 
 
 def options_of(content=0, detail=0, limits=None) -> ParseOptions:
@@ -30,15 +34,16 @@ def _kernel(df: DataFrame, id_col: str, content_col: str, body: str, options: Pa
 
     def run(batches):
         for batch in batches:
-            pending = []
+            pending, held = [], 0
             ids, contents = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 doc, data = ids[i].as_py(), contents[i].as_py()
                 for row in make(data, options):
                     pending.append({"doc_id": doc} | row)
-                    if len(pending) >= PAGES:
+                    held += sum(len(v) for v in row.values() if isinstance(v, list))
+                    if len(pending) >= PAGES or held >= ELEMENTS:
                         yield pa.RecordBatch.from_pylist(pending, schema=arrow)
-                        pending = []
+                        pending, held = [], 0
             if pending:
                 yield pa.RecordBatch.from_pylist(pending, schema=arrow)
 
@@ -59,20 +64,31 @@ def _pages(data: bytes | None, options: ParseOptions):
     return [{"page": -1, "file": found}, *pages]
 
 
-def _structure(data: bytes | None, options: ParseOptions):
+def _structure(data: bytes | None, options: ParseOptions, keep_data: bool = False):
     from ..kernel.rows import structure
 
     if data is None:
         return [{"error": {"class": "limit", "message": "no content: null, or above the file byte limit", "page": -1}}]
     try:
-        return [structure(data, options)]
+        return [structure(data, options, keep_data)]
     except Exception as e:  # noqa: BLE001
         return [{"length": len(data), "error": {"class": "internal", "message": f"{type(e).__name__}: {e}"[:500], "page": -1}}]
 
 
-def files(spark: SparkSession, path, options: ParseOptions, stream: bool = False) -> DataFrame:
-    """path, content of every matching file; content is null above the byte limit, and is then not read."""
-    reader = (spark.readStream if stream else spark.read).format("binaryFile").option("pathGlobFilter", "*.pdf")
+def _is_folder(spark: SparkSession, path) -> bool:
+    """Whether path names a folder; wherever Spark can open it."""
+    if not isinstance(path, str):
+        return False
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def files(spark: SparkSession, path, options: ParseOptions, stream: bool = False, pattern: str = PATTERN) -> DataFrame:
+    """path, content of the named file, or of every file of a folder that fits the pattern; content is null above the byte limit, and is then not read."""
+    reader = (spark.readStream if stream else spark.read).format("binaryFile")
+    if stream or _is_folder(spark, path):
+        reader = reader.option("pathGlobFilter", pattern)
     if stream:
         reader = reader.schema("path string, modificationTime timestamp, length bigint, content binary")
     found = reader.load(path)
@@ -84,12 +100,12 @@ def parse(df: DataFrame, content=0, detail=0, limits=None, id_col: str = "doc_id
     return _kernel(df, id_col, content_col, schema.PARSED, options_of(content, detail, limits), _pages)
 
 
-def parse_files(spark: SparkSession, path, content=0, detail=0, limits=None) -> DataFrame:
+def parse_files(spark: SparkSession, path, content=0, detail=0, limits=None, pattern: str = PATTERN) -> DataFrame:
     """parse() over files; doc_id is the path."""
     options = options_of(content, detail, limits)
-    return parse(files(spark, path, options), options.content, options.detail, options.limits, id_col="path")
+    return parse(files(spark, path, options, pattern=pattern), options.content, options.detail, options.limits, id_col="path")
 
 
-def parse_structure(df: DataFrame, limits=None, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """File structure of a binary column, one nested row a document."""
-    return _kernel(df, id_col, content_col, schema.STRUCTURE, options_of(limits=limits), _structure)
+def parse_structure(df: DataFrame, limits=None, id_col: str = "doc_id", content_col: str = "content", keep_data: bool = False) -> DataFrame:
+    """File structure of a binary column, one nested row a document; keep_data: with what its streams decode to."""
+    return _kernel(df, id_col, content_col, schema.STRUCTURE, options_of(limits=limits), partial(_structure, keep_data=keep_data))

@@ -13,14 +13,13 @@ from quire.functions import geometry as geo
 from quire.operators.elements import Parsed, layout_text
 from quire.operators.structure import Structure
 from quire.options import ALL, FULL, TEXT
-from quire.plans.queries import ORACLES, QUERIES
+from quire.plans.queries import oracle_sql, queries
 from quire.sources import writer as w
 from quire.sources.reader import parse, parse_files, parse_structure
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Small enough to run all of; the driver runs every query at a larger scale.
-QUICK = [q for q in ORACLES if q not in ("ctm_product", "line_style", "errors_partial", "operation_depth", "content_selection")]
+QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +36,7 @@ def cells(rows, names):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     want = duck.sql(ORACLES[name])
