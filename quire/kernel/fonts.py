@@ -70,6 +70,11 @@ class CMap:
     def split(self, raw: bytes) -> list[tuple[bytes, str, bool]]:
         """(code, text, known) of each code: the first code space that holds it decides its length."""
         spaces = self.spaces or [(b"\0" * n, b"\xff" * n) for n in sorted({len(k) for k in self.mapping})]
+        if len(spaces) == 1 and not len(raw) % len(spaces[0][0]) and not any(spaces[0][0]) and set(spaces[0][1]) == {255}:
+            # one code space with every code of its length
+            n, get = len(spaces[0][0]), self.mapping.get
+            codes = [raw[i : i + n] for i in range(0, len(raw), n)]
+            return [(c, REPLACEMENT, False) if (u := get(c)) is None else (c, u, True) for c in codes]
         out, at = [], 0
         while at < len(raw):
             n = next((len(lo) for lo, hi in spaces if at + len(lo) <= len(raw) and all(a <= c <= b for a, c, b in zip(lo, raw[at : at + len(lo)], hi))), 1)
@@ -206,11 +211,6 @@ class Font:
         t = self.table or {}
         return [(raw[i : i + 1], t.get(raw[i], REPLACEMENT), raw[i] in t) for i in range(len(raw))]
 
-    def width(self, code: bytes) -> tuple[float, bool]:
-        """Width in text space units per unit size, and whether it is known."""
-        w = self.widths.get(int.from_bytes(code, "big"))
-        return (self.default * self.scale, self.default_known) if w is None else (w * self.scale, True)
-
 
 @dataclass(slots=True)
 class UnicodeMaps:

@@ -656,12 +656,11 @@ class Fold:
             run.spend("codes", len(raw))
             raw_codes.append(raw)
             codes = g.font.split(raw) if g.font else [(raw[i : i + 1], REPLACEMENT, False) for i in range(len(raw))]
-            for code, u, known in codes:
-                text.append(u)
-                decoded = decoded and known
-                if run.positions:
-                    ok = self.glyph(code, u, known, glyphs)
-                    placed, self.placed = placed and ok, self.placed and ok
+            text += [u for _, u, _ in codes]
+            decoded = decoded and all([known for _, _, known in codes])
+            if run.positions:
+                ok = self.advance(codes, glyphs)
+                placed, self.placed = placed and ok, self.placed and ok
         joined = "".join(text)
         run.spend("unicode", len(joined.encode("utf-8", "surrogatepass")))
         if not decoded:
@@ -675,23 +674,35 @@ class Fold:
             row |= {"glyphs": glyphs, "raw_codes": b"".join(raw_codes), "font_index": g.font.index if g.font else None, "state": self.state(), "source": self.provenance()}
         self.emit(1, row)
 
-    def glyph(self, code: bytes, u: str, known: bool, glyphs: list) -> bool:
-        """Place one code and move on; whether its width is known."""
-        g = self.g
-        width, sure = g.font.width(code) if g.font else (0.0, False)
-        sure = sure and g.font.positioned
-        advance = (width * g.size + g.char_space) * g.h_scale
-        if code == b" ":
-            advance += g.word_space * g.h_scale
-        m = mul(g.ctm, self.tm)
-        x, y = apply(m, 0.0, g.rise)
-        x2, y2 = apply(m, advance, g.rise)
-        self.tm = mul(self.tm, (1, 0, 0, 1, advance, 0))
-        if not finite((x, y, x2, y2, *self.tm)):
-            raise PdfError("glyph coordinate overflow")
-        if self.run.full:
-            glyphs.append({"code": code, "unicode": u, "origin": (x, y), "advance": (x2 - x, y2 - y), "decode_complete": known, "width_known": sure})
-        return sure
+    def advance(self, codes: list, glyphs: list) -> bool:
+        """Place codes one after the other and move on; whether all their widths are known. At the full level, the glyphs."""
+        g, full, every = self.g, self.run.full, True
+        widths, default, scale = ({}, (0.0, False), 0.0) if g.font is None else (g.font.widths, (g.font.default * g.font.scale, g.font.default_known), g.font.scale)
+        positioned = g.font is not None and g.font.positioned
+        a, b, c, d, e, f = self.tm
+        ca, cb, cc, cd, ce, cf = g.ctm
+        # the linear part of ctm x tm stays; only the translation moves along the line
+        ma, mb, mc, md = a * ca + b * cc, a * cb + b * cd, c * ca + d * cc, c * cb + d * cd
+        rise, size, extra, stretch, gap = g.rise, g.size, g.char_space, g.h_scale, g.word_space * g.h_scale
+        for code, u, known in codes:
+            w = widths.get(int.from_bytes(code, "big"))
+            width, sure = default if w is None else (w * scale, True)
+            sure = sure and positioned
+            step = (width * size + extra) * stretch
+            if code == b" ":
+                step += gap
+            me, mf = e * ca + f * cc + ce, e * cb + f * cd + cf
+            x, y = mc * rise + me, md * rise + mf
+            x2, y2 = ma * step + mc * rise + me, mb * step + md * rise + mf
+            e, f = step * a + e, step * b + f
+            total = x + y + x2 + y2 + e + f
+            if total - total != 0 and not finite((x, y, x2, y2, e, f)):
+                raise PdfError("a glyph's place is not finite")
+            every = every and sure
+            if full:
+                glyphs.append({"code": code, "unicode": u, "origin": {"x": x, "y": y}, "advance": {"x": x2 - x, "y": y2 - y}, "decode_complete": known, "width_known": sure})
+        self.tm = (a, b, c, d, e, f)
+        return every
 
     # --- objects
 

@@ -54,7 +54,7 @@ def interpret(data: bytes, options: ParseOptions) -> dict:
         pages.append(
             {
                 "page": p.index, "num": p.num, "gen": p.gen, "media_box": _box(p.media_box), "crop_box": _box(p.crop_box), "rotate": p.rotate, "user_unit": p.user_unit, "complete": p.complete, "n_operations": p.n_operations,
-                "texts": [t | {"glyphs": [g | {"origin": _xy(g["origin"]), "advance": _xy(g["advance"])} for g in t.get("glyphs", [])] if "glyphs" in t else None, "source": _source(t.get("source")), "state": _state(t.get("state"))} for t in p.texts],
+                "texts": [t | {"source": _source(t.get("source")), "state": _state(t.get("state"))} for t in p.texts],
                 "graphics": [g | {"segments": _segments(g["segments"]), "source": _source(g["source"]), "state": _state(g["state"])} for g in p.graphics],
                 "images": [i | {"source": _source(i["source"]), "state": _state(i["state"])} for i in p.images],
                 "annotations": [{"subtype": a["subtype"], "rect": _box(a["rect"]), "source": _source(a.get("source"))} for a in p.annotations],
