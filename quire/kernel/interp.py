@@ -113,6 +113,7 @@ class Interpretation:
 
     def diagnose(self, page: Page, code: str, message: str, span: tuple) -> None:
         self.spend("semantic")
+        self.spend("unicode", len(code) + len(message))
         page.complete = False
         self.diagnostics.append((page.index, code, message, span))
 
@@ -128,7 +129,10 @@ class Interpretation:
         return self
 
     def _dict(self, o: Obj | None, what: str) -> Dictionary:
-        return self.doc.mapping(o, what)
+        """A dictionary of resources, whose entries count as semantic objects each time it is looked into."""
+        d = self.doc.mapping(o, what)
+        self.spend("semantic", len(d.entries))
+        return d
 
     def _walk(self, root: Obj) -> None:
         # entries: (reference, inherited attributes, spans on the path); a stack keeps Kids order
@@ -217,6 +221,7 @@ class Interpretation:
             self.diagnose(page, "unbalanced-content-state", "text or graphics state left open at the end of the page", page.span)
 
     def decoded(self, s: Stream) -> int:
+        self.spend("semantic")
         source = self.doc.decode(s)
         self.spend("content", len(self.doc.sources[source].data))
         return source
@@ -242,7 +247,6 @@ class Interpretation:
     def font(self, o: Obj, page: Page) -> Font:
         target = self.doc.resolve(o)
         if target.span not in self.fonts:
-            self.spend("semantic")
             f = load_font(self.doc, target, len(self.fonts), self.positions, self.full, self.maps)
             if o.kind == "reference":
                 f.num, f.gen = o.value
@@ -254,7 +258,8 @@ class Interpretation:
     def image(self, o: Obj | None, target: Obj, d: Dictionary, inline: bool = False) -> int:
         """Index of an image resource, by where it is written."""
         if target.span not in self.image_resources:
-            self.spend("semantic")
+            if inline:
+                self.spend("semantic")
             get = lambda short, full: self.doc.direct(d.get(full)) or (self.doc.direct(d.get(short)) if inline else None)
             sizes = [integer(get(*k)) for k in ((b"W", b"Width"), (b"H", b"Height"))]
             if any(not 0 <= x <= 1 << 30 for x in sizes):
@@ -358,10 +363,11 @@ class Fold:
         self.g = replace(self.g, **changes)
 
     def resource(self, category: bytes, name: bytes) -> Obj:
+        self.run.spend("semantic", len(self.resources.entries))
         group = self.run.doc.direct(self.resources.get(category))
-        if group is None or group.kind != "dictionary":
+        if group is None:
             raise PdfError(f"no /{category.decode()} resources")
-        found = group.value.get(name)
+        found = self.run._dict(group, f"/{category.decode()} resources").get(name)
         if found is None:
             raise PdfError(f"missing /{category.decode()} resource {name.decode('latin-1')!r}")
         return found
@@ -388,7 +394,6 @@ class Fold:
         return {"ctm": list(self.g.ctm), "rendering_intent": self.g.intent, "clip": [{"even_odd": e, "segments": [{"op": o, "points": p} for o, p in s]} for s, e in self.g.clip]}
 
     def emit(self, kind: int, row: dict) -> None:
-        self.run.spend("semantic")
         rows = {1: self.page.texts, 2: self.page.graphics, 3: self.page.images}[kind]
         self.page.items.append((kind, len(rows)))
         rows.append(row)
@@ -532,7 +537,6 @@ class Fold:
                 self.start = self.current
         if not all(map(finite, points)):
             raise PdfError("a point of the path is not finite")
-        self.run.spend("semantic")
         self.path.append((op, points))
         self.path_ops.append(self.index)
         self.path_spans.append(self.span)
@@ -727,6 +731,7 @@ class Fold:
         if target.kind != "stream":
             raise PdfError("XObject is not a stream", target.start)
         s: Stream = target.value
+        run.spend("semantic", len(s.dictionary.entries))
         get = lambda k: run.doc.direct(s.dictionary.get(k))
         kind = get(b"Subtype")
         kind = kind.value if kind is not None and kind.kind == "name" else b""

@@ -101,8 +101,11 @@ def test_errors_keep_earlier_rows():
 
 
 def test_selection_changes_what_is_checked():
-    broken = w.pages([b"1e999 0 0 1 0 0 cm BT /F 1 Tf (A) Tj ET -1 w"])
-    assert run(broken, TEXT, 0)["pages"][0]["texts"] == [] or True
+    large = b"1" + b"0" * 200
+    broken = w.pages([b"%s 0 0 1 0 0 cm " % large * 2 + b"BT /F 1 Tf (A) Tj ET -1 w"])
+    p = run(broken, TEXT, 0)
+    assert p["error"] is None and [t["unicode"] for t in p["pages"][0]["texts"]] == ["A"] and p["pages"][0]["complete"]
+    assert run(broken, GRAPHICS, 0)["error"] and run(broken, TEXT, LAYOUT)["error"]
     ok = w.pages([b"BT /F 1 Tf (A) Tj ET -1 w"])
     assert run(ok, TEXT, 0)["error"] is None and run(ok, TEXT, LAYOUT)["error"]
     notes = w.pages([b"("], page=b"/Annots[<</Subtype/Link>>]/Resources 99 0 R")
@@ -122,6 +125,57 @@ def test_limits():
     assert ParseOptions().checked().content == TEXT
 
 
+def test_values_and_content_bytes_are_bounded():
+    many = w.pages([b"[1 2] 0 d " * 17])
+    r = run(many, TEXT, FULL, max_values=64)
+    assert r["error"]["class"] == "limit" and len(r["pages"][0]["operations"]) == 16
+    assert run(many, TEXT, 0, max_values=64)["pages"][0]["operations"] == [] and run(many, TEXT, FULL)["error"] is None
+    body = b"q Q" + b" " * 61
+    assert run(w.pages([body] * 2), max_content_bytes=128)["error"] is None
+    assert run(w.pages([body] * 3), max_content_bytes=128)["error"]["class"] == "limit"
+
+
+def test_form_diagnostics_are_raised_on_every_page():
+    form = w.stream(b"1 i", b"/Type/XObject/Subtype/Form/BBox[0 0 9 9]")
+    r = run(w.pages([b"/X Do", b"/X Do"], resources=b"/XObject<</X 5 0 R>>", extra=[form]), GRAPHICS, 0)
+    assert [d["page"] for d in r["diagnostics"]] == [0, 1] and not any(p["complete"] for p in r["pages"])
+
+
+def test_shared_unicode_map_is_charged_once():
+    cmap = w.stream(b"1 beginbfrange <0000> <00FF> <0041> endbfrange")
+    fonts = [b"<</Subtype/Type0/BaseFont/U%d/Encoding/Identity-H/ToUnicode 5 0 R>>" % i for i in range(3)]
+    shown = b"BT " + b" ".join(b"/F%d 1 Tf <0000> Tj" % i for i in range(3)) + b" ET"
+    pdf = w.pages([shown], resources=b"/Font<</F0 6 0 R/F1 7 0 R/F2 8 0 R>>", extra=[cmap, *fonts])
+    r = run(pdf, TEXT, 0, max_objects=300)
+    assert r["error"] is None and [t["unicode"] for t in r["pages"][0]["texts"]] == ["A"] * 3
+    assert run(pdf, TEXT, 0, max_objects=200)["error"]["class"] == "limit"
+
+
+def test_type3_width_errors():
+    def font(proc, extra=b""):
+        own = b"<</Subtype/Type3/FontMatrix[.01 0 0 .01 0 0]/Encoding<</Differences[65/g]>>/CharProcs<</g %s>>%s>>" % (proc, extra)
+        return run(w.pages([b"BT /F 1 Tf (A) Tj ET"], font=own, extra=[w.stream(b"d0"), w.stream(b"1 0 d0", b"/Filter/LZWDecode")]), TEXT, LAYOUT)
+
+    assert font(b"5 0 R")["error"] and font(b"<<>>")["error"] and font(b"null", b"/FontMatrix[1 0]")["error"]
+    r = font(b"6 0 R", b"/FirstChar 65/Widths[3]")
+    assert r["error"] is None and r["diagnostics"][0]["code"] == "unsupported-type3-font"
+
+
+def test_streams_stand_for_their_dictionaries():
+    r = run(w.pages([b"/G gs 0 0 1 1 re f"], resources=b"/ExtGState 5 0 R", extra=[w.stream(b"", b"/G<</LW 3>>")]), GRAPHICS, LAYOUT)
+    assert r["error"] is None or r["error"]["class"] == "malformed"
+    note = run(w.pages([b""], page=b"/Annots[5 0 R]", extra=[w.stream(b"", b"/Subtype/Link")]), ANNOTATIONS, 0)
+    assert note["pages"][0]["annotations"][0]["subtype"] == "Link"
+    assert run(w.pages([b""], page=b"/Annots[<</A 1/A 2>>]"), ANNOTATIONS, 0)["error"]
+
+
+def test_inline_image_operands_are_kept():
+    r = run(w.pages([b"BI /W 1/H 1/BPC 8/CS/G ID x EI"]), ALL, FULL)
+    op = r["pages"][0]["operations"][0]
+    assert op["operator"] == "BI" and op["operands"][0].split() == ["/W", "1/H", "1/BPC", "8/CS/G"]
+    assert len(r["pages"][0]["images"][0]["source"]["spans"]) == 2
+
+
 def open_(pdf, **limits):
     return Document(pdf, Limits(**limits)).open()
 
