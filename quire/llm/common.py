@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: The words of every contract here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Lets Spark delete a write's shuffle files when it is done: nothing reads them after.
+#: Lets Spark delete a write's shuffle files when it is done.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,19 +27,41 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files of a write go when it is done: nothing reads them after."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing before it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    with _cleaning(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """A table in the shared folder, dealt into buckets by a key: joins on that key do not shuffle it again."""
+
+    def __init__(self, df: DataFrame, key: str, tag: str, buckets: int):
+        self.spark, self.name = df.sparkSession, f"quire_{tag}_{uuid.uuid4().hex}"
+        with _cleaning(self.spark):
+            path = f"{shared_dir(self.spark)}/{self.name}"
+            df.write.format("parquet").bucketBy(buckets, key).option("path", path).option("compression", "none").saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        drop_stored(self.df)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables made by stored() that no later plan reads."""
     for df in tables:
