@@ -6,7 +6,9 @@ are compared, each with numpy exclusive-or and bit counts, after the same test o
 Tiles above BLOCK fingerprints are cut into blocks by hash, all pairs of which are compared: no
 fingerprint and no link is left out. A tile pair returns a spanning forest of its links (at most one
 edge per fingerprint), never the links themselves; components follow from rounds of minimum-label
-stars on those edges, whose state lies in the shared folder.
+stars on those edges, whose state lies in the shared folder. Rows learn their component by their
+fingerprint: those that very many rows share (HOT_LEAST at least, HOT_MOST of them at most) by broadcast, the
+others by a shuffled join.
 
 Defined cases: null and empty texts, and texts without a word, have fingerprint zero and link like
 any other. Fewer words than a shingle: the whole word sequence is the only shingle. Rows with one
@@ -23,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, rows, stored, text_bytes
+from .common import by_bytes, drop_stored, rows, stored, text_bytes
 
 #: Fingerprints of a tile compared as one block.
 BLOCK = 1 << 16
+#: Bytes of text turned into fingerprints at once.
+SLICE_BYTES = 4 << 20
 #: Comparisons held in memory at once.
 AT_ONCE = 1 << 20
+#: A fingerprint is hot if more than HOT_LEAST rows, and more than one in HOT_MOST, have it; so there are at most HOT_MOST.
+HOT_LEAST, HOT_MOST = 4096, 100_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -46,16 +52,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the bigint columns `keys`."""
+    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *keys, text_bytes(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in rows(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            for part in by_bytes(batch, "text", SLICE_BYTES):
+                fp = np.array([fingerprint(t, width) for t in rows(part, "text")], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp.view(np.int64))], ["doc_id", *keys, "fp"])
 
-    return given.mapInArrow(run, "doc_id bigint, fp bigint")
+    return given.mapInArrow(run, ", ".join(["doc_id bigint", *(f"{k} bigint" for k in keys), "fp bigint"]))
 
 
 class _Forest:
@@ -144,7 +151,9 @@ def links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": fp[at].view(np.int64), "b": fp[root[at]].view(np.int64)})
 
-    return sent.groupBy("pair").applyInArrow(run, "a bigint, b bigint")
+    found = stored(sent.groupBy("pair").applyInArrow(run, "a bigint, b bigint"), "simhash-links")
+    drop_stored(tiles, pairs)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,54 +179,58 @@ def components(edges: DataFrame) -> DataFrame:
         if now == was:
             break
         was = now
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    both = current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    found = stored(both, "stars-roots")
+    drop_stored(current)
+    return found
 
 
-def _named(docs: DataFrame, width: int, radius: int, block: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp, root (smallest fingerprint of the component, signed), component_id."""
-    marked = stored(fingerprints(docs, width, id_col, text_col), "simhash")
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct, radius, block))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(least, "root").select("fp", "root", "component_id"), "fp")
+def _rooted(distinct: DataFrame, radius: int, block: int) -> DataFrame:
+    """The rows of `distinct` (fp and others, one row a fingerprint) with the root of their component: its smallest fingerprint, signed."""
+    edges = links(distinct.select("fp"), radius, block)
+    roots = components(edges)
+    drop_stored(edges)
+    found = stored(distinct.join(roots, distinct.fp == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+    drop_stored(roots)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable by links) of every row."""
-    found = _named(docs, width, radius, block, id_col, text_col)
+    marked = stored(fingerprints(docs, width, id_col, text_col), "simhash")
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")), "simhash-distinct")
+    rooted = _rooted(distinct, radius, block)
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(rooted.join(least, "root").select("fp", "component_id", "m"), "simhash-named")
+    many = max(HOT_LEAST, marked.count() // HOT_MOST)
+    drop_stored(distinct, rooted)
+    hot = F.broadcast(named.filter(F.col("m") > many).drop("m"))  # HOT_MOST rows at most
+    rest = marked.join(hot.select("fp"), "fp", "left_anti").join(named.filter(F.col("m") <= many).drop("m"), "fp")
+    found = marked.join(hot, "fp").select("doc_id", "fp", "component_id").union(rest.select("doc_id", "fp", "component_id"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _whole_row(docs: DataFrame, seed: int):
+    """A 64-bit hash of all of a row's columns, nulls told from values."""
+    flat = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes]
+    return F.xxhash64(F.lit(seed), *flat, *[F.isnull(c) for c in docs.columns])
+
+
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, less all but one of each component: the smallest doc_id stays, and of its repeated rows one.
+    """One row of docs for each component, columns as they are.
 
-    Where rows of that doc_id hold different texts, one of the component's own stays (smallest
-    fingerprint). A component without any doc_id keeps one row. Columns stay as they are.
+    The row with the smallest doc_id stays (null ids last), then the one with the smallest fingerprint, then the
+    smallest hash of all columns; of rows equal in every column one. So no component is lost, however ids
+    repeat, and reruns agree. Which row that is needs only ids, fingerprints and hashes; the texts are shuffled once, by hash.
     """
-    found = _named(docs, width, radius, block, id_col, text_col)
-    twice = stored(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a != b").select(F.col("doc_id").alias("_twice_id")), "simhash-twice")
-    kept = found.filter("doc_id = component_id")
-    once = kept.join(twice, kept.doc_id == twice["_twice_id"], "left_anti").select(F.col("doc_id").alias("_kept_id"))
-    out = docs.join(once, docs[id_col] == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-
-    def run(batches):
-        for batch in batches:
-            t = rows(batch, "_t")
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_id")), pa.array(t, pa.binary()), pa.array(np.array([fingerprint(x, width) for x in t], np.uint64).view(np.int64))], ["_id", "_t", "_fp"])
-
-    def one_row(some: DataFrame, own: DataFrame) -> DataFrame:
-        """A row of `some` for each id and fingerprint in `own`; null and empty texts are one text."""
-        key = F.col(id_col).cast("bigint")
-        texts = some.select(key.alias("_id"), text_bytes(text_col).alias("_t")).distinct().mapInArrow(run, "_id bigint, _t binary, _fp bigint")
-        texts = texts.join(own, texts["_id"].eqNullSafe(own["_own"]) & (texts["_fp"] == own["_own_fp"]), "left_semi").groupBy("_id", "_fp").agg(F.min("_t").alias("_t"))
-        one = some.join(texts, key.eqNullSafe(texts["_id"]) & (text_bytes(text_col) == texts["_t"]), "left_semi")
-        return one.withColumn("_quire_same", text_bytes(text_col)).dropDuplicates([id_col, "_quire_same"]).drop("_quire_same")
-
-    if not twice.isEmpty():
-        own = kept.join(twice, kept.doc_id == twice["_twice_id"], "left_semi").groupBy(F.col("doc_id").alias("_own"), "root").agg(F.min("fp").alias("_own_fp"))
-        out = out.unionByName(one_row(docs.join(twice, docs[id_col] == F.col("_twice_id"), "left_semi"), own.drop("root")))
-    nameless = stored(found.filter("component_id IS NULL").select(F.col("component_id").alias("_own"), F.col("root").alias("_own_fp")).distinct(), "simhash-nameless")
-    if not nameless.isEmpty():
-        out = out.unionByName(one_row(docs.filter(F.col(id_col).isNull()), nameless))
-    return out
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    own = own.withColumn("h1", _whole_row(own, 1)).withColumn("h2", _whole_row(own, 2))
+    marked = stored(fingerprints(own, width, names[docs.columns.index(id_col)], names[docs.columns.index(text_col)], ("h1", "h2")), "simhash")
+    order = F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "fp", "h1", "h2")
+    distinct = stored(marked.groupBy("fp").agg(F.min(order).alias("best")), "simhash-distinct")
+    rooted = _rooted(distinct, radius, block)
+    kept = stored(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.h1", "best.h2"), "simhash-kept")
+    drop_stored(marked, distinct, rooted)
+    out = own.join(kept, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
