@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows
+from .common import by_bytes, rows, text_bytes
 
 #: Words, and pieces, that a worker remembers in the newer half of each cache; a full half replaces the older one.
-CACHE = 250_000
+CACHE = 100_000
+#: Bytes of text encoded and decoded at once.
+SLICE_BYTES = 4 << 20
 #: Pre-tokenizer of byte-level BPE files whose ByteLevel step uses its regular expression (fixed by that format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -221,20 +223,21 @@ def load(path: str) -> PrefixBpe:
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Encode and decode every whole text; digests of both. With keep, also the ids (array) and the decoded text."""
-    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
 
     def run(batches):
         codec = load(path)
         for batch in batches:
-            texts = rows(batch, "text")
-            encoded = [codec.ids(t) for t in texts]
-            decoded = [codec.decode(i) for i in encoded]
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            cols = [batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(i) for i in encoded], pa.int64()), pa.array([sha(i.astype("<u4").tobytes()) for i in encoded], pa.string()), pa.array([sha(d.encode()) for d in decoded], pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep:
-                cols += [pa.array([i.astype(np.int32) for i in encoded], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            for part in by_bytes(batch, "text", SLICE_BYTES):
+                encoded = [codec.ids(t.decode()) for t in rows(part, "text")]
+                decoded = [codec.decode(i) for i in encoded]
+                digests = [pa.array([sha(i.astype("<u4").tobytes()) for i in encoded], pa.string()), pa.array([sha(d.encode()) for d in decoded], pa.string())]
+                cols = [part.column(part.schema.get_field_index("doc_id")), pa.array([len(i) for i in encoded], pa.int64()), *digests]
+                if keep:
+                    cols += [pa.array([i.astype(np.int32) for i in encoded], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return given.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)
