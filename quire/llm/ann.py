@@ -4,12 +4,16 @@ PIVOTS distinct vectors of a bounded sample are the pivots. A vector is represen
 nearest pivots in order. Rows are dealt into blocks by a hash of their id; a block holds one inverted
 file per pivot, posting (distinct vector, place of the pivot). A query adds up, over its own pivots'
 files, how much each posting lowers the footrule distance below that of a vector sharing no pivot;
-the RERANK share of the block with the smallest footrule (at least LEAST, all ties included) is then
-compared by exact cosine in double precision. The best k of all blocks are merged.
+the ROOT * sqrt(n) of a block's n distinct vectors with the smallest footrule (all ties included) are then
+compared by exact cosine in double precision. The best k of all blocks are merged. The formula is the same at
+every size; blocks have BLOCK rows on average, so a query reranks a falling share up to one block's size and a fixed
+one (6 %) beyond it.
 
 Equal vectors of a block are indexed once, with their smallest k + 1 ids, so a vector copied into a
 third of all rows neither fills the candidate list nor hides other neighbours. Queries meet blocks in
-chunks of QUERIES, so a task's memory does not grow with the table.
+chunks of QUERIES, so a task's memory does not grow with the table. Every block sees every query: on vectors without
+clusters no pivot rules a block out (with 24 of 1024 lists probed, a query still meets 38 % of 50,000 vectors for a
+recall of 0.98), so the work grows as rows times queries, each pair costing a few additions and 6 % of them a cosine.
 
 Defined cases: rows whose id or vector is null, whose vector holds null or non-finite components, is
 zero, or has another length than the pivots', take no part. Repeated rows count once; a query's own id
@@ -27,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Bound of the sample the pivots are taken from; rows of a block; queries that meet it at once.
-SAMPLE, PIVOTS, PREFIX = 4096, 256, 64
-BLOCK, QUERIES = 16_384, 16_384
-#: Share of a block's distinct vectors that is reranked, and the least number.
-RERANK, LEAST = 0.12, 512
+SAMPLE, PIVOTS, PREFIX = 4096, 256, 128
+BLOCK, QUERIES = 16_384, 65_536
+#: Of n distinct vectors in a block, ROOT * sqrt(n) are reranked.
+ROOT = 8.0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -70,14 +74,14 @@ class BlockIndex:
         self.post, self.place = by // self.prefix, (by % self.prefix).astype(np.int32)
         self.list = np.searchsorted(perm.ravel()[by], np.arange(len(pivots) + 1))
 
-    def search(self, own: int, q: np.ndarray, perm: np.ndarray, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int, q: np.ndarray, perm: np.ndarray, root: float = ROOT) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k for query vector q with id `own`."""
         gain = np.zeros(len(self.x), np.int32)
         for place, pivot in enumerate(perm):
             a, b = self.list[pivot], self.list[pivot + 1]
             # footrule sums |place - place'| over both prefixes, a missing pivot standing at place `prefix`
             gain[self.post[a:b]] += (self.prefix - place) + (self.prefix - self.place[a:b]) - np.abs(self.place[a:b] - place)
-        want = min(len(gain), max(least, int(np.ceil(share * len(gain)))))
+        want = min(len(gain), int(np.ceil(root * np.sqrt(len(gain)))))
         near = np.flatnonzero(gain >= -np.partition(-gain, want - 1)[want - 1])
         score = (self.x[near] * q).sum(1) / (self.scale[near] * np.sqrt((q * q).sum()))
         best = near[score >= -np.partition(-score, min(len(near), self.k + 1) - 1)[min(len(near), self.k + 1) - 1]]
@@ -91,7 +95,7 @@ class BlockIndex:
         return ids[top], score[top]
 
 
-def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, share: float = RERANK, least: int = LEAST, block: int = BLOCK, queries: int = QUERIES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, root: float = ROOT, block: int = BLOCK, queries: int = QUERIES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row whose id is divisible by `every`."""
     x = F.col("x")
     sound = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
@@ -125,7 +129,7 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, share: float = R
             q = matrix(wanted)
             perms = nearest_pivots(q, pivots, PREFIX)
             for own, v, perm in zip(wanted.column("id").to_pylist(), q.astype(np.float64), perms):
-                ids, score = index.search(own, v, perm, share, least)
+                ids, score = index.search(own, v, perm, root)
                 out[0].append(np.full(len(ids), own))
                 out[1].append(ids)
                 out[2].append(score)
