@@ -3,11 +3,12 @@
 A text's bytes are cut into chunks of CHUNK, each read with the WIDTH bytes that follow, so that
 neighbouring chunks overlap and the whole text is covered. Learned filters over learned byte
 embeddings run at every STRIDE-th byte; each filter is max-pooled in its chunk; the mean and the
-maximum of the pooled values over all chunks are combined into one logistic probability. Mean and
-maximum need no more memory for longer texts.
+maximum of the pooled values over all chunks are combined into one logistic probability. Texts longer
+than PART_CHUNKS chunks are read in parts of that length, whose sums and maxima are combined.
 
-Training uses a bounded sample of labelled rows: PER_CLASS of each label of at most TRAIN_BYTES bytes,
-chosen by a hash of doc_id; scoring covers every row and every byte.
+Training uses a bounded sample of labelled rows of all lengths: PER_CLASS of each label, chosen by a hash of
+doc_id; of a text longer than TRAIN_BYTES, as many whole chunks as make up that length, evenly spread over it. Scoring
+covers every row and every byte. Filters run at every STRIDE-th byte, in training and scoring alike.
 
 Defined cases: null and empty texts are scored as one blank chunk. Without labels of both kinds the
 score is the share of label 1 (0.5 without any). Rows labelled twice count by their smallest label.
@@ -26,8 +27,10 @@ from .common import by_bytes, id_mod, rows, text_bytes
 
 CHUNK, WIDTH, STRIDE = 256, 8, 2
 EMBED, FILTERS = 8, 24
-#: Bounds of the training sample.
-PER_CLASS, TRAIN_BYTES = 1200, 6000
+#: Bounds of the training sample: rows of each label, and bytes of each text.
+PER_CLASS, TRAIN_BYTES = 1200, 24 * CHUNK
+#: Chunks of one text read at once.
+PART_CHUNKS = 1 << 14
 EPOCHS, BATCH, RATE = 8, 32, 4e-3
 GOOD = 0.7
 SLICE_BYTES = 4 << 20
@@ -79,10 +82,20 @@ class ByteNet:
         return np.maximum(out + self.b, 0)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
+        if any(len(t) > PART_CHUNKS * CHUNK for t in texts):
+            return np.concatenate([self._long(t) if len(t) > PART_CHUNKS * CHUNK else self.features([t]) for t in texts])
         c, n = chunks(texts)
         h, start = self.pooled(c), np.cumsum(n) - n
         return np.concatenate([np.add.reduceat(h, start) / n[:, None], np.maximum.reduceat(h, start)], 1)
 
+    def _long(self, text: bytes) -> np.ndarray:
+        total, most, count = np.zeros(FILTERS), np.full(FILTERS, -np.inf), -(-len(text) // CHUNK)
+        for k in range(0, count, PART_CHUNKS):
+            # with the chunk after a part, whose first bytes its last chunk reads too
+            h = self.pooled(chunks([text[k * CHUNK : (k + PART_CHUNKS + 1) * CHUNK]])[0][:PART_CHUNKS])
+            total, most = total + h.sum(0), np.maximum(most, h.max(0))
+        return np.concatenate([total / count, most])[None].astype(np.float32)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
@@ -141,17 +154,33 @@ class ByteNet:
         return de, dw.astype(np.float32), dh.sum(0), (f.T @ d + 1e-4 * self.out).astype(np.float32), d.sum(keepdims=True)
 
 
+def spread(text: bytes, longest: int = TRAIN_BYTES) -> bytes:
+    """A text, or of a longer one the chunks that make up `longest` bytes, evenly spread over it, the first and the last included."""
+    if len(text) <= longest:
+        return text
+    count, want = -(-len(text) // CHUNK), longest // CHUNK
+    return b"".join(text[k * CHUNK : (k + 1) * CHUNK] for k in np.linspace(0, count - 1, want).astype(int).tolist())
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, longest: int, learn=None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """At most per_class rows of each label, by hash of the id: (text, label), in a fixed order."""
+    """At most per_class rows of each label, by hash of the id: (spread text, label), in a fixed order."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
-    joined = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_bytes(text_col).alias("_text")).filter((F.length("_text") <= longest) & F.col("_id").isNotNull())
+    joined = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_bytes(text_col).alias("_text")).filter(F.col("_id").isNotNull())
     if learn is not None:
         joined = joined.filter(learn("_id"))
     shares = marks.groupBy("_label").count().collect()
     bound = {r["_label"]: min(1.0, 3 * per_class / r["count"]) for r in shares}
     mixed = F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(1 << 30))
     marks = marks.withColumn("_h", mixed).filter(F.col("_h") < F.when(F.col("_label") == 1, int(bound.get(1, 1) * (1 << 30))).otherwise(int(bound.get(0, 1) * (1 << 30))))
-    picked = joined.join(F.broadcast(marks), "_id").dropDuplicates(["_id", "_text"])  # about 6 * per_class ids at most
+
+    def cut(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("_text")
+            for part in by_bytes(batch, "_text", SLICE_BYTES):
+                yield part.set_column(at, "_text", pa.array([spread(t, longest) for t in rows(part, "_text")], pa.binary()))
+
+    found = joined.join(F.broadcast(marks), "_id")  # about 6 * per_class ids at most
+    picked = found.mapInArrow(cut, found.schema).dropDuplicates(["_id", "_text"])
     out = []
     for label in (0, 1):
         out += [(bytes(r["_text"]), label) for r in picked.filter(F.col("_label") == label).orderBy("_h", "_id", "_text").limit(per_class).collect()]

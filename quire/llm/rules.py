@@ -147,8 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            x = [statistics(t)[1] for t in rows(batch, "_text")]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in ("_h", "_label")] + [pa.array([list(map(float, v)) for v in x], pa.list_(pa.float64()))], ["h", "label", "x"])
+            for part in by_bytes(batch, "_text", SLICE_BYTES):
+                x = pa.array([list(map(float, statistics(t)[1])) for t in rows(part, "_text")], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in ("_h", "_label")), x], ["h", "label", "x"])
 
     got = given.mapInArrow(run, "h bigint, label int, x array<double>").distinct().orderBy("h", "x").limit(sample).collect()
     x, y = np.array([r.x for r in got], float).reshape(-1, len(FEATURES)), np.array([r.label for r in got], float)
