@@ -1,17 +1,21 @@
 """op4 (token counts) and op7 (token-id files): whole texts through the public tokenizer libraries.
 
-Both hand the library every distinct word of a batch once, in batches balanced by bytes, and
-remember its answer in a bounded cache. That equals encoding whole texts because texts are only
-split at safe boundaries, where the vocabulary's pre-tokenizer always splits:
-
-* counting (white space is dropped by the vocabulary): at ASCII white space;
-* counting with SentencePiece, whose pieces never cross a space followed by a word: before such spaces;
-* ids of byte-level BPE: before lone spaces and line breaks; a text where white space stands beside white
-  space is cut by the vocabulary's own pattern, and one that holds a special string goes whole.
+op4 gives the library whole texts, in batches balanced by bytes (CALL_BYTES); only texts above LONG_BYTES are
+cut, at single spaces between ASCII letters or digits, where no token of the vocabularies crosses: the space
+goes with what follows it, or away where the library puts one before every text (SentencePiece). A long text without
+such a space goes whole. Only lengths come back. Where a vocabulary's normaliser only composes, joins white space
+that its pre-tokenizer then drops, and lower-cases, texts of Latin letters up to U+024F, which are composed
+already, are lower-cased here and go to the same library without that normaliser, which costs it a third of its time.
+
+op7 hands the library every distinct word of a slice once and remembers its answer in a bounded cache. That
+equals encoding whole texts because they are only split where byte-level BPE always splits: before lone
+spaces and line breaks, and between a letter or digit and a full stop or comma that ends a word. Splitting, finding
+the distinct words and putting ids in order is Arrow and numpy code. A text where white space stands beside white space
+or that holds white space beyond ASCII is cut by the vocabulary's own pattern, and one that holds a special string goes whole.
 
 Defined cases: null texts are empty: no tokens (counting), the end id alone (files). Null doc_ids
-come first in a file's order; rows with one doc_id follow each other by their ids. Repeated rows are
-kept each. An empty table gives no rows and a store without blocks. Other columns are ignored.
+come first in a file's order; rows with one doc_id follow each other by a hash of their ids, then by their ids. Repeated
+rows are kept each. An empty table gives no rows and a store without blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +37,8 @@ from .common import by_bytes, drop_stored, rows, stored, text_bytes
 
 #: Words remembered in the newer half of a cache; a full half replaces the older one.
 CACHE = 400_000
-#: Bytes of text handled at once, and bytes given to the library at once.
-SLICE_BYTES, CALL_BYTES = 8 << 20, 1 << 20
+#: Bytes of text handled at once, bytes given to the library at once, and the length above which op4 cuts a text.
+SLICE_BYTES, CALL_BYTES, LONG_BYTES = 8 << 20, 1 << 20, 1 << 18
 
 
 class Remembered:
@@ -43,19 +48,19 @@ class Remembered:
         self.ask, self.new, self.old = ask, {}, {}
 
     def __call__(self, words) -> dict:
-        """A mapping that holds at least these words."""
-        distinct = set(words)
-        missing = distinct - self.new.keys()
-        if len(self.new) + len(missing) > CACHE:
-            self.new, self.old = {}, self.new
-            missing = distinct
+        """A mapping that holds at least these distinct words."""
+        new = self.new
+        missing = [w for w in words if w not in new]
+        if len(new) + len(missing) > CACHE:
+            new, self.old = {}, new
+            self.new, missing = new, words
         if missing:
-            again = missing & self.old.keys()
-            for w in again:
-                self.new[w] = self.old[w]
-            for part in balanced(list(missing - again)):
-                self.new.update(zip(part, self.ask(part)))
-        return self.new
+            again = [w for w in missing if w in self.old]
+            new.update((w, self.old[w]) for w in again)
+            fresh = [w for w in missing if w not in self.old] if again else missing
+            for part in balanced(fresh):
+                new.update(zip(part, self.ask(part)))
+        return new
 
 
 def balanced(words: list):
@@ -80,74 +85,76 @@ def _library(path: str):
     return t
 
 
-def _drops_white_space(path: str) -> bool:
-    """Whether a tokenizers file turns white space runs into one space and then drops them, splitting there."""
-    import json
+#: Words put into one text for the library.
+TOGETHER = 2000
+_GAP = re.compile(rb"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    steps = [spec["pre_tokenizer"], *((spec["pre_tokenizer"] or {}).get("pretokenizers") or [])]
-    return any(s and s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s" in s["pattern"].get("Regex", "") for s in steps)
 
+def cut_long(text: bytes, drop_space: bool, limit: int = LONG_BYTES) -> list[bytes]:
+    """A text in parts of about `limit` bytes, cut at single spaces between ASCII letters or digits."""
+    parts, start = [], 0
+    while len(text) - start > limit:
+        gap = _GAP.search(text, start + limit)
+        if not gap:
+            break
+        parts.append(text[start : gap.start()])
+        start = gap.end() if drop_space else gap.start()
+    return [*parts, text[start:]]
 
-#: Words put into one text for the library.
-TOGETHER = 2000
 
+#: Texts that are in normal form C and that lower() treats letter by letter, as the library does (not the dotted capital I).
+_LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*\\Z").match
 
-def _asked(t, special: list[str], words: list[str], alone) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Ids of each ` word`: the order in which the words were asked, their ids joined, and each one's number of ids.
 
-    Plain words go to the library in a few texts that hold many each; tokens are told apart by where they start.
-    Words that hold white space or special strings go alone, spelt by alone(i).
-    """
-    plain = [i for i, w in enumerate(words) if w.isalnum() or w and not _SPACE(w) and not any(x in w for x in special)]
-    kept = set(plain)
-    odd = [i for i in range(len(words)) if i not in kept]
-    ids, counts = [], []
-    groups = [[words[i] for i in plain[k : k + TOGETHER]] for k in range(0, len(plain), TOGETHER)]
-    for group, e in zip(groups, t.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-        size = np.fromiter(map(len, group), np.int64, len(group)) + 1
-        start = np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
-        counts.append(np.bincount(np.searchsorted(np.cumsum(size) - size, start, "right") - 1, minlength=len(group)))
-        ids.append(np.array(e.ids, np.int64))
-    for e in t.encode_batch_fast([alone(i) for i in odd], add_special_tokens=False):
-        counts.append(np.array([len(e)]))
-        ids.append(np.array(e.ids, np.int64))
-    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return plain + odd, join(ids), join(counts)
+def _without_normaliser(path: str):
+    """The library without the file's normaliser, if that only composes, joins white space and lower-cases, and white space is then dropped; else None."""
+    import json
 
+    from tokenizers import Tokenizer
 
-def _special(t) -> list[str]:
-    return [x.content for x in t.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = (spec["normalizer"] or {}).get("normalizers") or []
+    first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    joins = [n.get("pattern", {}).get("Regex") == r"\s+" and n.get("content") == " " for n in normal if n["type"] == "Replace"]
+    drops = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex", "").endswith(r"|[^\s\p{L}\p{N}]+")
+    if [n["type"] for n in normal] != ["NFC", "Replace", "Lowercase"] or joins != [True] or not drops:
+        return None
+    t = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
-_loaded: dict[str, tuple] = {}
+_counters: dict[str, tuple] = {}
 
 
 def _counter(path: str):
-    """(split: bytes -> words, Remembered counts) for a vocabulary file; one a worker process."""
-    if path not in _loaded:
+    """(list of texts -> numbers of tokens, whether a cut drops its space, whether texts may be cut); one a worker process."""
+    if path not in _counters:
         if path.endswith(".model"):
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            _loaded[path] = (lambda b: [b], Remembered(lambda words: map(len, sp.encode([w.decode() for w in words], num_threads=1))))
+            _counters[path] = (lambda texts: map(len, sp.encode(texts, num_threads=1)), True, True)
         else:
             t = _library(path)
-            special = _special(t)
+            lowered = _without_normaliser(path)
+            special = [x.lower() for x in _special(t)]
 
-            def ask(words):
-                words = [w.decode() for w in words]
-                order, _, counts = _asked(t, special, words, words.__getitem__)
-                out = np.empty(len(words), np.int64)
-                out[order] = counts
-                return out.tolist()
+            def lengths(texts: list[str]) -> list[int]:
+                low = [x.lower() if lowered and _LATIN(x) else None for x in texts]
+                low = [None if x is None or any(w in x for w in special) else x for x in low]
+                out = [0] * len(texts)
+                for library, at in ((t, [i for i, x in enumerate(low) if x is None]), (lowered, [i for i, x in enumerate(low) if x is not None])):
+                    if at:
+                        given = [texts[i] if library is t else low[i] for i in at]
+                        for i, e in zip(at, library.encode_batch_fast(given, add_special_tokens=False)):
+                            out[i] = len(e)
+                return out
 
-            if _drops_white_space(path):
-                _loaded[path] = (bytes.split, Remembered(ask))
-            else:
-                _loaded[path] = (lambda b: [b], Remembered(lambda texts: map(len, t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False))))
-    return _loaded[path]
+            _counters[path] = (lengths, False, not any(" " in x for x in special))
+    return _counters[path]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,13 +162,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
 
     def run(batches):
-        split, remembered = _counter(path)
+        lengths, drop_space, cuts = _counter(path)
         for batch in batches:
-            for part in by_bytes(batch, "text", SLICE_BYTES):
+            for part in by_bytes(batch, "text", CALL_BYTES):
                 texts = rows(part, "text")
-                words = [split(t) for t in texts]
-                known = remembered(chain.from_iterable(words))
-                n = [sum(map(known.__getitem__, ws)) for ws in words]
+                pieces = [cut_long(t, drop_space) if cuts and len(t) > LONG_BYTES else [t] for t in texts]
+                counts = chain.from_iterable(lengths([x.decode() for x in some]) for some in balanced([x for p in pieces for x in p]))
+                n = [sum(islice(counts, len(p))) for p in pieces]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return given.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
@@ -220,6 +227,10 @@ def read_block(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 _encoders: dict[str, tuple] = {}
 
 
+def _special(t) -> list[str]:
+    return [x.content for x in t.get_added_tokens_decoder().values()]
+
+
 def _encoder(path: str):
     """(id type, Remembered ids, special strings, pre-tokenizer) of a byte-level BPE file; one a worker process."""
     import regex
@@ -228,45 +239,81 @@ def _encoder(path: str):
         t = _library(path)
         wide = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
         special = _special(t)
-
-        def ask(keys):
-            order, ids, counts = _asked(t, special, [k.decode() for k in keys], lambda i: _spelt(keys[i]))
-            raw, to = ids.astype(wide).tobytes(), np.cumsum(counts) * np.dtype(wide).itemsize
+        spaced = np.zeros(t.get_vocab_size(), bool)
+        spaced[[i for token, i in t.get_vocab().items() if token.startswith("\u0120")]] = True  # how byte-level files write a space
+
+        def ask(keys: list[bytes]) -> list[bytes]:
+            """Ids of each key. Plain words go in a few texts that hold many each: a word's first id begins with its space, no other does."""
+            words = [k.decode() for k in keys]
+            plain = [i for i, w in enumerate(words) if w.isalnum() or w and not _SPACE(w) and not any(x in w for x in special)]
+            kept = set(plain)
+            odd = [i for i in range(len(words)) if i not in kept]
+            groups = [" " + " ".join([words[i] for i in plain[k : k + TOGETHER]]) for k in range(0, len(plain), TOGETHER)]
+            ids = [np.array(e.ids, wide) for e in t.encode_batch_fast(groups, add_special_tokens=False)]
+            ids = np.concatenate(ids) if ids else np.zeros(0, wide)
+            raw, cut = ids.tobytes(), (np.append(np.flatnonzero(spaced[ids]), len(ids)) * np.dtype(wide).itemsize).tolist()
+            if len(cut) != len(plain) + 1:
+                raise ValueError("a word without a token of its own")
             out = [b""] * len(keys)
-            for i, a, b in zip(order, [0, *to.tolist()], to.tolist()):
+            for i, a, b in zip(plain, cut, cut[1:]):
                 out[i] = raw[a:b]
+            for i, e in zip(odd, t.encode_batch_fast([_spelt(keys[i]) for i in odd], add_special_tokens=False)):
+                out[i] = np.array(e.ids, wide).tobytes()
             return out
 
-        _encoders[path] = (wide, Remembered(ask), [x.encode() for x in special], regex.compile(PIECES).findall)
+        _encoders[path] = (wide, Remembered(ask), special, regex.compile(PIECES).findall)
     return _encoders[path]
 
 
 _SPACE = re.compile(r"\s").search
-_CROWDED = re.compile(rb"[ \t\n\v\f\r]{2}").search
-_CLOSED = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n]|\Z)").sub
-_WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]").search
+#: What keeps a text from being split at its spaces: white space beside white space, or beyond ASCII.
+_CROWDED = r"[ \t\n\v\f\r]{2}|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _words(text: bytes, special: list[bytes], pieces) -> list[bytes]:
-    """Keys of the parts of a text, whose encodings follow each other in the text's own.
+def _spelt(key: bytes) -> str:
+    """A plain key stands for a space and the word; one that begins with a line break, for itself; with a carriage return, for what follows that.
 
-    A plain key stands for a space and the word; one that begins with a line break, for itself; with a carriage
-    return, for what follows that. The latter two cannot be plain, since no white space stands beside another.
+    The latter two cannot be plain, since no white space stands beside another.
     """
-    if not text:
-        return []
-    if any(x in text for x in special):
-        return [b"\r" + text]
-    if _CROWDED(text) or not text.isascii() and _WIDE_SPACE(text.decode()):
-        return [b"\r" + p.encode() for p in pieces(text.decode())]
-    # a full stop or comma after a letter or digit is a piece of its own: "word." need not be known beside "word"
-    words = _CLOSED(rb" \r\1", text).replace(b"\n", b" \n").split(b" ")
-    words[0] = b"\r" + words[0] if text[:1] != b"\n" else b"\r"
-    return words
+    return key[1:].decode() if key[:1] == b"\r" else key.decode() if key[:1] == b"\n" else " " + key.decode()
 
 
-def _spelt(key: bytes) -> str:
-    return key[1:].decode() if key[:1] == b"\r" else key.decode() if key[:1] == b"\n" else " " + key.decode()
+def _words(texts: pa.Array, special: list[str], pieces) -> pa.ListArray:
+    """Keys of the parts of each text, at least one, whose encodings follow each other in the text's own."""
+    whole = pc.match_substring_regex(texts, "|".join(map(re.escape, special))) if special else pa.repeat(False, len(texts))
+    crowded = pc.and_not(pc.match_substring_regex(texts, _CROWDED), whole)
+    odd = pc.or_(whole, crowded)
+    # a full stop or comma after a letter or digit is a piece of its own: "word." need not be known beside "word"
+    plain = pc.replace_substring_regex(texts.filter(pc.invert(odd)), r"([A-Za-z0-9])([.,])([ \n]|\z)", "\\1 \r\\2\\3")
+    plain = pc.split_pattern(pc.binary_join_element_wise("\r", pc.replace_substring(plain, "\n", " \n"), ""), " ")
+    if not pc.any(odd).as_py():
+        return plain
+    cut = [["\r" + t] if w else ["\r" + p for p in pieces(t)] or ["\r"] for t, w in zip(texts.filter(odd).to_pylist(), whole.filter(odd).to_pylist())]
+    place = np.argsort(np.concatenate([np.flatnonzero(~np.asarray(odd)), np.flatnonzero(np.asarray(odd))]))
+    return pa.concat_arrays([plain, pa.array(cut, plain.type)]).take(pa.array(place))
+
+
+def _encoded(texts: pa.Array, encoder: tuple, end_id: int) -> pa.Array:
+    """Little-endian ids of each text, then end_id."""
+    wide, remembered, special, pieces = encoder
+    texts = texts.take(pa.array(np.arange(len(texts))))  # some Arrow string functions misread slices
+    listed = _words(texts, special, pieces)
+    coded = listed.flatten().dictionary_encode()
+    keys = coded.dictionary.cast(pa.binary()).to_pylist()
+    known = remembered(keys)
+    found = [known[k] for k in keys]
+    size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(wide).itemsize
+    first = np.cumsum(size) - size
+    code = coded.indices.to_numpy()
+    n = size[code]
+    ends = np.cumsum(n)
+    kind = np.int32 if n.sum() < 1 << 31 else np.int64
+    ids = np.frombuffer(b"".join(found), wide)[np.arange(n.sum(), dtype=kind) + np.repeat((first[code] - ends + n).astype(kind), n)]
+    words = np.diff(listed.offsets.to_numpy())
+    per_text = np.append(0, ends)[np.cumsum(words)]
+    out = np.insert(ids, per_text, end_id)
+    offsets = np.append(0, per_text + np.arange(1, len(texts) + 1)) * np.dtype(wide).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.astype(wide).tobytes())])
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,14 +321,11 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 0, id_col: str =
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_bytes(text_col).alias("text"))
 
     def run(batches):
-        wide, remembered, special, pieces = _encoder(path)
-        end = np.array([end_id], wide).tobytes()
+        encoder = _encoder(path)
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
-                words = [_words(t, special, pieces) for t in rows(part, "text")]
-                known = remembered(chain.from_iterable(words))
-                ids = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                texts = part.column(part.schema.get_field_index("text")).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), _encoded(texts, encoder, end_id)], ["doc_id", "ids"])
 
     return given.mapInArrow(run, "doc_id bigint, ids binary")
 
@@ -365,6 +409,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
         if held:
             yield block()
 
-    blocks = stored(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(write, "part bigint, block bigint, n_ids bigint, data binary"), "tokens", compression="none")
+    # rows of one id, or of none, spread by their ids' hash, and rows equal in both by their place in the stored table
+    dealt = ids.withColumn("_h", F.xxhash64("ids")).repartitionByRange("doc_id", "_h", F.monotonically_increasing_id())
+    blocks = stored(dealt.sortWithinPartitions("doc_id", "_h", "ids").select("doc_id", "ids").mapInArrow(write, "part bigint, block bigint, n_ids bigint, data binary"), "tokens", compression="none")
     drop_stored(ids)
     return TokenStore(blocks, codebook)

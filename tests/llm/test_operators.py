@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import ann, bpe, cnn, langid, mixing, rules, simhash, tokens, words
 from quire.llm.registry import queries, vocabulary
@@ -52,6 +53,62 @@ def test_class_ngram_base_and_gain(docs):
     assert all(r.train_tokens == total and r.held_out == (crc(r.doc_id) == 1) and r.score < 0 for r in got)
 
 
+def test_class_probabilities_sum_to_one_and_score_as_by_hand():
+    rnd = np.random.default_rng(4)
+    n = np.array([9, 4, 3, 1, 1, 0, 0])  # the end, four known words, two unknown
+    cls = np.array([0, 1, 1, 0, 2, 2, 2])
+    counts = np.zeros((4, 4))
+    counts[:3, :3] = [[5, 4, 1], [5, 2, 0], [0, 1, 0]]
+    counts[:, 3], counts[3, :3] = [1, 1, 0, 0], [1, 1, 0]
+    counts[:3, :3] *= n[n > 0].sum() / counts[:3, :3].sum()
+    for k in range(3):
+        counts[:3, k] *= n[cls == k].sum() / counts[:3, k].sum()
+    model = words.ClassModel(counts, int(n.sum()))
+    tokens = rnd.integers(0, 7, 40)
+    got = model.score(tokens, n, cls)
+    prior = (n[None, :] * (cls == np.arange(3)[:, None])).sum(1)
+    prior = (prior + 1e-3) / (prior + 1e-3).sum()
+    rare = 2 / n.sum()
+    for i, w in enumerate(tokens):
+        h = tokens[i - 1] if i else 0
+        c = cls[h] if n[h] else 3
+        unknown = rare if c == 3 else (counts[c, 3] + 5 * rare) / (n[cls == c].sum() + 5)
+        if n[w] == 0:
+            want = unknown
+        else:
+            want = (1 - unknown) * (counts[c, cls[w]] + 5 * prior[cls[w]]) / (counts[c, :3].sum() + 5) * n[w] / n[cls == cls[w]].sum()
+        assert got[i] == pytest.approx(math.log10(want), abs=1e-9)
+    for h in range(7):
+        after = [10 ** model.score(np.array([h, w]), n, cls)[1] for w in range(7)]
+        assert sum(after[:5]) + after[5] == pytest.approx(1, abs=2e-3) and after[5] == after[6]
+
+
+def test_class_ngram_beats_base_on_held_out_rows(docs):
+    rnd = random.Random(12)
+    text = lambda: " ".join(f"{'abc'[j % 3]}{rnd.randrange(20)}" for j in range(60))
+    got = words.class_ngram_scores(docs([(i, text(), None, None) for i in range(150)]), head=20, classes=4).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > sum(r.base_score for r in held) / sum(r.n_tokens for r in held) + 0.2
+
+
+def test_class_ngram_blocks_hold_every_text(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(words, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(words, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda s: 0})())}))
+    texts = [t or "" for _, t, _, _ in ODD + PROSE[:20]] + ["\x1c a\x0bb\xa0c A\rZ É"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([i % 3 == 0 for i in range(len(texts))]), pa.array([t.encode() for t in texts], pa.binary())], ["id", "held", "text"])
+    got = []
+    for b in words._blocks([batch.slice(0, 7), batch.slice(7)]):
+        r = b.to_pylist()[0]
+        at, codes = 0, words._numbers(b, "tokens", 0)
+        assert len(set(words._numbers(b, "hashes", 0, np.uint32).tolist())) == len(r["words"])
+        for i, n in zip(r["ids"], words._numbers(b, "lens", 0)):
+            got.append((i, [r["words"][c] for c in codes[at : at + n]]))
+            at += n
+    assert got == [(i, t.encode().lower().split() + [b" "]) for i, t in enumerate(texts)]
+
+
 def test_class_ngram_empty(docs):
     assert words.class_ngram_scores(docs([])).count() == 0
     r = words.class_ngram_scores(docs([(next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5 == 1), "a b", "en", "s")])).collect()
@@ -119,6 +176,45 @@ def test_token_counts_equal_library(docs):
     assert tokens.token_counts(docs([]), CLIP).count() == 0
 
 
+def test_long_texts_are_cut_without_changing_counts(docs, monkeypatch):
+    import sentencepiece
+
+    rnd = random.Random(11)
+    texts = [x for x in samples() if len(x) > 100][:60] + [" ".join(rnd.choice(["the", "a1", "x.y", "é", "ing,", "  b", "\n", "don't", "日本 語"]) for _ in range(300)) for _ in range(40)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for path, size in ((CLIP, lambda x: len(library(CLIP).encode(x, add_special_tokens=False))), (GPT, lambda x: len(library(GPT).encode(x, add_special_tokens=False))), (PIECE, lambda x: len(sp.encode(x)))):
+        lengths, drop, cuts = tokens._counter(path)
+        for x in texts:
+            parts = tokens.cut_long(x.encode(), drop, 40)
+            assert cuts and sum(lengths([p.decode() for p in parts])) == size(x), (path, x)
+        assert len(tokens.cut_long(texts[-1].encode(), drop, 40)) > 5
+    assert tokens.cut_long(b"x" * 100, False, 10) == [b"x" * 100]
+    long = prose(random.Random(1), 120_000)
+    got = tokens.token_counts(docs([(1, long, "en", "a"), (2, "b", "en", "a")]), CLIP).collect()
+    assert [r.n_tokens for r in sorted(got, key=lambda r: r.doc_id)] == [len(library(CLIP).encode(long, add_special_tokens=False)), 1]
+
+
+def test_lower_case_before_the_library_equals_its_own():
+    t = library(CLIP)
+    latin = [chr(c) for c in range(0x250) if c != 0x130]
+    assert all(tokens._LATIN(c) and t.normalizer.normalize_str(c) == (" " if c.isspace() and not "\x1c" <= c <= "\x1f" else c.lower()) or c.isspace() for c in latin)
+    lengths = tokens._counter(CLIP)[0]
+    rnd = random.Random(13)
+    texts = ["".join(rnd.choice(latin + [" ", "a", "E"] * 60) for _ in range(rnd.randint(0, 60))) for _ in range(2000)] + ["<|ENDOFTEXT|>", "İI", "<|endoftext|>É"]
+    assert lengths(texts) == [len(e) for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert tokens._without_normaliser(CLIP) is not None and tokens._without_normaliser(GPT) is None
+
+
+def test_words_are_remembered_in_two_halves(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    asked = []
+    r = tokens.Remembered(lambda ws: asked.extend(ws) or [w * 2 for w in ws])
+    for words in (["a", "b", "c"], ["a", "d", "e", "f"], ["a", "b"], list("abcdefgh"), ["z"]):
+        known = r(words)
+        assert all(known[w] == w * 2 for w in words)
+    assert asked.count("a") == 1
+
+
 def test_pack_round_trip():
     rnd = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 5, 1000):
@@ -149,6 +245,26 @@ def test_token_store(docs):
     assert tokens.write_tokens(docs([]), GPT).digests().count() == 0
 
 
+def test_encoded_slices_equal_library():
+    import pyarrow as pa
+
+    texts = samples()
+    t, enc = library(GPT), tokens._encoder(GPT)
+    for k in range(0, len(texts), 700):
+        got = tokens._encoded(pa.array([x.encode() for x in texts], pa.binary()).slice(k, 700).cast(pa.string()), enc, 0).to_pylist()
+        for x, g in zip(texts[k:], got):
+            assert np.frombuffer(g, "<u2").tolist() == [*t.encode(x, add_special_tokens=False).ids, 0], x[:60]
+
+
+def test_many_rows_of_one_id_are_dealt_over_tasks(spark, docs):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    store = tokens.write_tokens(docs([(None, f"text {i % 3}", "en", "a") for i in range(400)] + [(5, f"t {i}", "en", "a") for i in range(400)]), GPT)
+    got = sorted(store.digests().collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 400 + [5] * 400 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len({r.part for r in store.blocks.select("part").collect()}) > 2
+
+
 # --- op3
 
 
@@ -194,6 +310,48 @@ def test_mixing_equals_repeated_sharing_and_stays_near(docs):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_mixing_comes_near_with_equal_rows(docs):
+    # half of source a are equal rows without an id: its share must not hang on one throw
+    rows = [(None, "w " * 9, None, "a")] * 500 + [(i, "w " * 9, None, "a") for i in range(100)] + [(1000 + i, "w " * 30, None, "b") for i in range(300)]
+    got = mixing.mix_plan(docs(rows)).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) and all(r.taken <= 3 * r.size for r in own)
+
+
+def test_mixed_rows_follow_the_plan(docs):
+    rnd = random.Random(6)
+    rows = [(None if i % 4 == 0 else i % 50, " ".join(rnd.choice("abc") for _ in range(rnd.choice([3, 5, 8]))), None, rnd.choice(["a", "b", None])) for i in range(400)] + [(1, "z z z", None, "c")]
+    df = docs(rows).withColumnsRenamed({"size": "whole", "id": "doc_id_", "n_chars": "up"})
+    plan, out = mixing.mix_plan(df).collect(), mixing.mixed(df)
+    assert out.columns == df.columns
+    want, got = Counter(), Counter()
+    for r in plan:
+        want[r.doc_id, r.source, r.size] += r.copies
+    out = out.collect()
+    for r in out:
+        got[r.doc_id, r.source, len(r.text.split())] += 1
+    assert +want == got
+    kinds, taken = Counter((i, t, s) for i, t, _, s in rows), Counter((r.doc_id, r.text, r.source) for r in out)
+    assert all(taken[k] <= 3 * n for k, n in kinds.items()) and set(taken) <= set(kinds)
+    clash = docs(rows).withColumnsRenamed({"size": "_c", "id": "_d", "n_chars": "_i"})
+    assert mixing.mixed(clash).count() == len(out)
+
+
+def test_mixing_expectation_over_seeds(docs, monkeypatch):
+    df = docs([(i, "w " * (i % 5 + 1), None, "a") for i in range(7)] + [(100 + i, "w " * 11, None, "b") for i in range(9)])
+    total = Counter()
+    for seed in range(30):
+        monkeypatch.setattr(mixing, "SEED", 1000 * seed)
+        for r in mixing.mix_plan(df).collect():
+            total[r.doc_id] += r.copies / 30
+            aim = r.target / r.source_size
+            assert int(aim) <= r.copies <= int(aim) + 1
+    rate = {r.source: r.target / r.source_size for r in mixing.mix_plan(df).collect()}
+    assert all(abs(total[i] - rate["a" if i < 100 else "b"]) < 0.36 for i in total)
+
+
 def test_mixing_is_native_and_handles_odd_rows(spark, docs):
     df = mixing.mixed(docs(ODD + PROSE))
     assert df.columns == docs([]).columns
@@ -275,6 +433,40 @@ def test_one_of_each_where_an_id_has_several_texts(docs):
     assert keep([(3, b), (7, a), (7, b)]) == keep([(7, b), (7, a), (3, b)]) == [(3, b), (7, a)]
 
 
+def test_one_of_each_equals_brute_force(docs):
+    rnd = random.Random(14)
+    base = [prose(random.Random(i), 60) for i in range(12)]
+    rows = []
+    for k in range(70):
+        words_ = base[rnd.randrange(12)].split()
+        if rnd.random() < 0.5:
+            words_[rnd.randrange(60)] = "changed"
+        rows.append((rnd.choice([None, None, *range(6)]), " ".join(words_), "en", rnd.choice("ab")))
+    rows += [(None, None, "en", "a"), (3, "", "en", "a"), rows[0], rows[0]]
+    df = docs(rows).withColumnsRenamed({"size": "fp", "id": "h1", "n_chars": "c0"})
+    out = simhash.one_of_each(df)
+    got = [(r.doc_id, r.text, r.lang, r.source) for r in out.collect()]
+    named = {(i, t): None for i, t, _, _ in rows}
+    numbered = [(k, t, lang, s) for k, (_, t, lang, s) in enumerate(rows)]
+    of = {k: c for k, _, c in brute_components(numbered)}
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(of[k], []).append(row)
+    assert out.columns == df.columns and len(got) == len(groups) and named
+    for g in groups.values():
+        mine = [x for x in got if x in g]
+        least = min((i for i, *_ in g if i is not None), default=None)
+        assert len(mine) == 1 and mine[0][0] == least
+    assert sorted(got, key=str) == sorted(((r.doc_id, r.text, r.lang, r.source) for r in simhash.one_of_each(df.orderBy(F.rand(1))).collect()), key=str)
+
+
+def test_hot_fingerprints_take_the_broadcast_way(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_LEAST", 5)
+    rows = [(i, "one and the same text", "en", "a") for i in range(40)] + PROSE[:10] + ODD
+    got = simhash.near_duplicates(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == brute_components(rows)
+
+
 # --- op6, op9, op10
 
 
@@ -371,6 +563,35 @@ def test_quality_net_gradients():
         p[at] = keep
 
 
+def test_quality_net_equals_naive_convolution():
+    net = cnn.ByteNet(3)
+    net.out[:] = np.random.default_rng(1).normal(0, 1, len(net.out))
+    net.b[:] = 0.1
+    for text in (b"", b"short", prose(random.Random(2), 200).encode(), b"ab" * 600):
+        pooled = []
+        for start in range(0, max(1, len(text)), cnn.CHUNK):
+            chunk = (text[start : start + cnn.CHUNK + cnn.WIDTH]).ljust(cnn.CHUNK + cnn.WIDTH, b"\0")
+            best = np.full(cnn.FILTERS, -np.inf)
+            for at in range(0, cnn.CHUNK, cnn.STRIDE):
+                x = np.concatenate([net.embed[b] for b in chunk[at : at + cnn.WIDTH]])
+                best = np.maximum(best, x @ net.w + net.b)
+            pooled.append(np.maximum(best, 0))
+        f = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)])
+        assert net.score([text])[0] == pytest.approx(1 / (1 + math.exp(-(f @ net.out + net.bias[0]))), abs=1e-5)
+
+
+def test_quality_net_reads_long_texts_in_parts(monkeypatch):
+    net = cnn.ByteNet(3)
+    net.out[:] = np.random.default_rng(1).normal(0, 1, len(net.out))
+    texts = [prose(random.Random(5), 3000).encode(), b"a", prose(random.Random(6), 900).encode()]
+    want = net.score(texts)
+    monkeypatch.setattr(cnn, "PART_CHUNKS", 3)
+    assert net.score(texts) == pytest.approx(want, abs=1e-5)
+    long = bytes(range(256)) * 100
+    cut = cnn.spread(long + b"end", 1024)
+    assert len(cut) <= 1024 and cut.startswith(long[:256]) and cut.endswith(b"end") and cnn.spread(b"abc") == b"abc"
+
+
 def brute_statistics(text):
     import re
 
@@ -406,6 +627,26 @@ def test_trees_are_monotone_and_learn():
         assert (np.diff(model.raw(g).reshape(50, 60), axis=1) <= 1e-9).all()
 
 
+def test_flat_trees_equal_recursive_walk():
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(500, 5))
+    model = rules.Trees().fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), [3], trees=12)
+
+    def walk(node, row):
+        if model.feature[node] < 0:
+            return model.value[node]
+        return walk(model.child[node] + (row[model.feature[node]] > model.threshold[node]), row)
+
+    assert model.raw(x[:80]) == pytest.approx([model.base + sum(walk(r, row) for r in model.roots) for row in x[:80]], abs=1e-12)
+
+
+def test_rules_hold_out(spark, docs):
+    rows = [(i, junk(i) if i % 3 == 0 else prose(random.Random(i), 80), "en", "s") for i in range(300)]
+    got = {r.doc_id: r.kept for r in rules.judged(docs(rows), labels(spark, [(i, int(i % 3 > 0)) for i in range(150)])).collect()}
+    assert sum(got[i] == (i % 3 > 0) for i in range(150, 300)) >= 145
+    assert rules.kept(docs([]), labels(spark, [])).count() == 0
+
+
 def test_rules_query_and_stage(spark, docs):
     rows = [(i, junk(i) if i % 3 == 0 else prose(random.Random(i), 80), "en", "s") for i in range(200)]
     marks = labels(spark, [(i, int(i % 3 > 0)) for i in range(0, 200, 2)])
@@ -422,6 +663,22 @@ def test_rules_query_and_stage(spark, docs):
 # --- op8
 
 
+@pytest.mark.parametrize("n", [500, 2000, 16_384])
+def test_index_recall_without_clusters(n):
+    rnd = np.random.default_rng(n)
+    x = rnd.normal(size=(n, 64)).astype(np.float32)
+    pivots = ann._unit(x[:: max(1, n // ann.PIVOTS)][: ann.PIVOTS])
+    index = ann.BlockIndex(np.arange(n), x, pivots, ann.PREFIX, 5)
+    asked = np.arange(0, n, n // 100)[:100]
+    cos = ann._unit(x[asked]) @ ann._unit(x).T
+    cos[np.arange(len(asked)), asked] = -9
+    hits = 0
+    for q, perm, c in zip(asked, ann.nearest_pivots(x[asked], pivots, ann.PREFIX), cos):
+        ids, _ = index.search(int(q), x[q].astype(float), perm)
+        hits += len(set(ids.tolist()) & set(np.argsort(-c)[:5].tolist()))
+    assert hits >= 0.95 * 5 * len(asked)
+
+
 def test_neighbours_against_brute_force(spark):
     rnd = np.random.default_rng(10)
     x = rnd.normal(size=(3000, 16)).astype(np.float32)
