@@ -68,24 +68,30 @@ class Structure:
     def chains(self, references: DataFrame, depth: int = 256) -> DataFrame:
         """References (doc_id, ref_num, ref_gen) followed to the end: hops, kind, lexeme, error (cycle or limit).
 
-        A chain never leaves its document, so each document's references meet its objects in one group and are
-        followed there; no step is a join, and nothing but a document's own size bounds a group.
+        A chain never leaves its document, so each document's references meet its row of objects in one join and are
+        followed there: no step is a join, and nothing but a document's own size bounds a row.
         """
-        roots = self.nodes().filter("parent_id IS NULL").select("doc_id", "num", "gen", "kind", "lexeme", "ref_num", "ref_gen")
-        in_force = F.when(F.col("entry_type") == "in_use", F.col("field_b")).otherwise(0).cast("int").alias("gen")
-        usable = self.resolved_xref().filter("entry_type IN ('in_use', 'compressed')").select("doc_id", "num", in_force)
-        objects = roots.join(usable, ["doc_id", "num", "gen"])
-        wanted = references.select("doc_id", "ref_num", "ref_gen").distinct()
-        kind = wanted.schema["doc_id"].dataType.simpleString()
+        root = F.filter("nodes", lambda n: n["parent_id"].isNull())
+        roots = F.transform(root, lambda n: F.struct(*(n[c].alias(c) for c in ("num", "gen", "kind", "lexeme", "ref_num", "ref_gen"))))
+        records = F.transform("records", lambda r: F.struct(*(r[c].alias(c) for c in ("section", "num", "entry_type", "field_b"))))
+        objects = self.rows.select("doc_id", roots.alias("roots"), records.alias("records"))
+        asked = references.groupBy("doc_id").agg(F.collect_set(F.struct("ref_num", "ref_gen")).alias("asked"))
+        kind = references.schema["doc_id"].dataType.simpleString()
         out = f"doc_id {kind}, first_num bigint, first_gen int, hops int, kind string, lexeme string, error string"
         arrow = to_arrow_schema(T.StructType.fromDDL(out))
 
-        def run(asked: pa.Table, found: pa.Table) -> pa.Table:
-            at = {(r["num"], r["gen"]): r for r in found.to_pylist()}
-            rows = [{"doc_id": r["doc_id"], "first_num": r["ref_num"], "first_gen": r["ref_gen"]} | _follow(at, (r["ref_num"], r["ref_gen"]), depth) for r in asked.to_pylist()]
-            return pa.Table.from_pylist(rows, arrow)
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    force: dict[int, dict] = {}
+                    for r in sorted(row["records"] or [], key=lambda r: r["section"]):
+                        force.setdefault(r["num"], r)
+                    at = {(o["num"], o["gen"]): o for o in row["roots"] or [] if _usable(force.get(o["num"]), o["gen"])}
+                    found = [(r["ref_num"], r["ref_gen"]) for r in row["asked"]]
+                    rows = [{"doc_id": row["doc_id"], "first_num": f[0], "first_gen": f[1]} | _follow(at, f, depth) for f in found]
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-        return wanted.groupBy("doc_id").cogroup(objects.groupBy("doc_id")).applyInArrow(run, out)
+        return asked.join(objects, "doc_id", "left").select("doc_id", "asked", "roots", "records").mapInArrow(run, out)
 
     def page_tree(self, depth: int = 128) -> DataFrame:
         """doc_id, page, num, gen and inherited attributes of each page, from the objects' nodes alone.
@@ -118,6 +124,11 @@ class Structure:
         return self.objects().filter("origin != 'error'").join(used, ["doc_id", "num"], "left_anti")
 
 
+def _usable(record: dict | None, gen: int) -> bool:
+    """Whether the cross-reference record in force leads to an object of this generation."""
+    return record is not None and record["entry_type"] in ("in_use", "compressed") and gen == (record["field_b"] if record["entry_type"] == "in_use" else 0)
+
+
 def _follow(objects: dict, first: tuple, depth: int) -> dict:
     """Hops from a reference to a value, and the value's kind and lexeme; an undefined object is null."""
     path, hops, kind, lexeme = [first], 0, "reference", None
