@@ -17,10 +17,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where none is configured (tests)."""
+    """The folder all executors share; a local one is set only where none is configured and there is one process (tests)."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()

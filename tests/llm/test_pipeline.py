@@ -45,3 +45,17 @@ def test_encoding_hands_on_ids_and_text(spark, docs):
     rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "a  b\n\nc é😀 <|endoftext|>", "en", "a"), (4, prose(random.Random(1), 80), "en", "b")]
     got = {r.doc_id: (r.ids, r.decoded) for r in corpus_pipeline.encoding(spark, docs(rows), "").collect()}
     assert got == {i: (codec.ids(t or "").tolist(), t or "") for i, t, _, _ in rows}
+
+
+def test_stages_on_empty_odd_and_clashing_tables(spark, docs, tmp_path):
+    odd = [(1, None, None, None), (None, "", None, None), (None, "word", "en", "a"), (3, "x" * 80_000, "en", "a"), (3, "the cat " * 20_000, "en", "a"), (3, "the cat " * 20_000, "en", "a")]
+    spark.createDataFrame([(None, None, None), (3, 1, 0), (3, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in ([], odd):
+        df = docs(rows).withColumnsRenamed({"size": "fp", "id": "h1", "n_chars": "_c0"})
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(tmp_path))
+            n = out.count()
+            assert name == "encoding" or out.columns == df.columns
+            assert rows or n == 0
+            if rows:
+                assert n == {"language": n, "quality": n, "near_dedup": len({None, "word", "x", "the"}), "mixing": n, "encoding": len(rows)}[name]
