@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 class Parsed:
-    """Tables over one parse() result. Tables share the kernel's work after persist()."""
+    """Tables over one parse() result. Tables share the kernel's work after write() or persist(); each report runs it once."""
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
@@ -16,6 +16,11 @@ class Parsed:
         self.rows = self.rows.persist()
         return self
 
+    def write(self, path: str) -> "Parsed":
+        """The same tables over rows written to a folder: the kernel runs once, and each table reads only its own columns."""
+        self.rows.write.parquet(path)
+        return Parsed(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path))
+
     def close(self) -> None:
         """Drop what persist() kept; may be called again."""
         self.rows.unpersist()
@@ -78,32 +83,38 @@ class Parsed:
         n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
         return self._pages().select("doc_id", (F.col("page") + 1).alias("page"), F.col("complete"), n("texts").alias("texts"), n("graphics").alias("graphics"), n("images").alias("images"), n("annotations").alias("annotations"))
 
+    def _counts(self) -> list[Column]:
+        """Aggregates over a document's rows, its pages' and its file's, so that one pass of the kernel gives them all."""
+        own = lambda c: F.sum(F.when(F.col("page") >= 0, F.coalesce(F.size(c), F.lit(0)))).cast("bigint")
+        of_file = lambda c: F.max(F.coalesce(F.size(f"file.{c}"), F.lit(0))).cast("bigint")
+        pages = F.count_if(F.col("page") >= 0).alias("pages")
+        kinds = [F.coalesce(own(c), F.lit(0)).alias(c) for c in ("texts", "graphics", "images", "annotations")]
+        return [of_file("image_resources").alias("image_resources"), of_file("fonts").alias("fonts"), of_file("diagnostics").alias("diagnostics"), pages, *kinds]
+
     def summary(self) -> DataFrame:
-        """Counts of each document; documents without pages stay."""
-        per = self.page_counts().groupBy("doc_id").agg(F.count("*").alias("pages"), *(F.sum(c).alias(c) for c in ("texts", "graphics", "images", "annotations")))
-        size = lambda c: F.coalesce(F.size(f"file.{c}"), F.lit(0)).cast("bigint").alias(c)
-        files = self.rows.filter("page = -1").select("doc_id", size("image_resources"), size("fonts"), size("diagnostics"))
-        zero = {c: 0 for c in ("pages", "texts", "graphics", "images", "annotations")}
-        return files.join(per, "doc_id", "left").fillna(zero)
+        """Counts of each document; documents without pages stay. Documents without an id are counted as one."""
+        return self.rows.groupBy("doc_id").agg(*self._counts())
 
     def summary_json(self) -> DataFrame:
         """doc_id, json: counts with the pages' own counts inside."""
-        pages = self.page_counts().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.col("complete").alias("interpretation_complete"), "texts", "graphics", "images"))).alias("page_details"))
+        n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(c)
+        page = F.struct((F.col("page") + 1).alias("page"), F.col("complete").alias("interpretation_complete"), n("texts"), n("graphics"), n("images"))
+        details = F.array_sort(F.collect_list(F.when(F.col("page") >= 0, page)))
         keys = ["pages", "texts", "graphics", "images", "image_resources", "fonts", "annotations", "diagnostics"]
-        return self.summary().join(pages, "doc_id", "left").select("doc_id", F.to_json(F.struct(*keys, "page_details")).alias("json"))
+        per = self.rows.groupBy("doc_id").agg(*self._counts(), details.alias("page_details"))
+        return per.select("doc_id", F.to_json(F.struct(*keys, F.when(F.size("page_details") > 0, F.col("page_details")).alias("page_details"))).alias("json"))
 
     def result_json(self) -> DataFrame:
         """doc_id, json of the whole result without what is empty: content, detail, pages, image resources, diagnostics; bytes as base64."""
         some = lambda c, name: F.when(F.size(c) > 0, F.col(c)).alias(name)
         kinds = ("texts", "graphics", "images", "annotations", "operations")
         page = F.to_json(F.struct("page", "media_box", "crop_box", "rotate", "user_unit", "complete", *(some(c, c) for c in kinds)))
-        listed = F.array_sort(F.collect_list(F.struct("page", page.alias("j"))))
-        pages = self._pages().groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["j"]), ",").alias("_pages"))
+        pages = F.array_sort(F.collect_list(F.when(F.col("page") >= 0, F.struct("page", page.alias("j")))))
         detail = F.when(F.col("file.detail") > 0, F.col("file.detail")).alias("detail")
         rest = F.to_json(F.struct(F.col("file.content").alias("content"), detail, some("file.image_resources", "image_resources"), some("file.diagnostics", "diagnostics")))
-        files = self.rows.filter("page = -1").select("doc_id", rest.alias("_rest")).join(pages, "doc_id", "left")
-        whole = F.concat(F.expr("substring(_rest, 1, length(_rest) - 1)"), F.lit(',"pages":['), F.coalesce("_pages", F.lit("")), F.lit("]}"))
-        return files.select("doc_id", whole.alias("json"))
+        per = self.rows.groupBy("doc_id").agg(F.max(F.when(F.col("page") < 0, rest)).alias("_rest"), F.array_join(F.transform(pages, lambda x: x["j"]), ",").alias("_pages"))
+        whole = F.concat(F.expr("substring(_rest, 1, length(_rest) - 1)"), F.lit(',"pages":['), "_pages", F.lit("]}"))
+        return per.select("doc_id", whole.alias("json"))
 
     def plain_text(self) -> DataFrame:
         """doc_id, text: a line per show operation, a form feed line between pages."""

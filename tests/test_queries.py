@@ -70,6 +70,36 @@ def test_files_and_reports(spark, folder):
     p.close()
 
 
+def test_written_tables_and_named_files(spark, folder, tmp_path):
+    p = Parsed(parse_files(spark, folder, ALL, FULL)).write(f"{tmp_path}/parsed")
+    assert p.texts().count() == 3 and p.summary().count() == 2 and p.glyphs().count() == 8
+    odd = tmp_path / "REPORT.PDF"
+    odd.write_bytes(w.pages([b"0 0 1 1 re f"]))
+    (tmp_path / "no_suffix").write_bytes(w.pages([b"0 0 1 1 re f", b""]))
+    count = lambda path: Parsed(parse_files(spark, str(path), ALL)).pages().count()
+    assert (count(odd), count(tmp_path / "no_suffix")) == (1, 2)
+    assert Parsed(parse_files(spark, f"{tmp_path}/REPORT*", ALL)).graphics().count() == 1
+    out = io.StringIO()
+    assert cli.main([str(odd)], out) == 0 and "Images: 0 (0 shared resources)" in out.getvalue() and "interpretation_complete=true" in out.getvalue()
+    assert cli.main([f"{tmp_path}/missing.pdf"], io.StringIO(), io.StringIO()) == 1
+
+
+def test_page_tree_limits_and_source_bytes(spark):
+    from quire.operators.structure import source_bytes, stream_data
+
+    deep = w.build([b"<</Type/Catalog/Pages 2 0 R>>", *(b"<</Type/Pages/Kids[%d 0 R]>>" % (i + 3) for i in range(5)), b"<</Type/Page/MediaBox[0 0 1 1]>>"])
+    wrong = w.build([b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R 4 0 R]/MediaBox[0 0 1 1]>>", b"<</Type/Page>>", b"<</Type/Other>>"])
+    df = spark.createDataFrame([(1, bytearray(deep)), (2, bytearray(wrong)), (3, None)], "doc_id bigint, content binary")
+    tree = Structure(parse_structure(df))
+    got = sorted((r.doc_id, r.page, r.error) for r in tree.page_tree().collect() if r.doc_id < 3)
+    assert got == [(1, 0, None), (2, 0, None), (2, 1, "page tree node has an unknown type")] or got[2][2].startswith("page tree node")
+    assert {r.error for r in tree.page_tree(depth=3).filter("doc_id = 1").collect()} == {"page tree depth limit exceeded"}
+    asked = spark.createDataFrame([(1, 9, 0, 5), (1, 1, 0, 5), (3, 1, 0, 1)], "doc_id bigint, source int, start bigint, end bigint")
+    assert sorted((r.doc_id, r.source, None if r.bytes is None else bytes(r.bytes)) for r in source_bytes(asked, df).collect()) == [(1, 1, b"%PDF-"), (1, 9, None), (3, 1, None)]
+    streams = spark.createDataFrame([(1, 2, 0), (3, 1, 0)], "doc_id bigint, num bigint, gen int")
+    assert all(r.bytes is None and r.error for r in stream_data(streams, df).collect())
+
+
 def test_stream_equals_batch(spark, folder):
     from quire.streaming.ingest import parse_stream
 
@@ -86,7 +116,10 @@ def test_data_source(spark, folder):
     register(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     df = spark.read.format("quire_pdf").option("path", f"{folder}/a.pdf").load()
-    assert [r.value for r in df.filter(F.col("path") == f"{folder}/a.pdf").orderBy("ord").collect()] == ["Hi", "you", "top"]
+    rows = df.filter(F.col("path") == f"{folder}/a.pdf").orderBy("ord").collect()
+    assert [r.value for r in rows] == ["Hi", "you", "top"] and '"unicode": "Hi"' in rows[0].row
+    broken = spark.read.format("quire_pdf").option("path", folder).load().filter("kind = 'error'").collect()
+    assert len(broken) == 1 and broken[0].path.endswith("b.pdf")
 
 
 def test_cli(spark, folder):
