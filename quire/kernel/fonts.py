@@ -2,53 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from .errors import LimitError, PdfError
+from .glyphs import glyph_text
 from .syntax import Dictionary, Obj, decode_hex, integer, lex, number
 
 #: The upper part of WinAnsiEncoding that differs from Latin-1.
 WIN_ANSI = {128: "€", 130: "‚", 131: "ƒ", 132: "„", 133: "…", 134: "†", 135: "‡", 136: "ˆ", 137: "‰", 138: "Š", 139: "‹", 140: "Œ", 142: "Ž", 145: "‘", 146: "’", 147: "“", 148: "”", 149: "•", 150: "–", 151: "—", 152: "˜", 153: "™", 154: "š", 155: "›", 156: "œ", 158: "ž", 159: "Ÿ", 160: " ", 173: "-"}
 #: Fonts that may leave their encoding out.
 STANDARD_FONTS = {b"Helvetica", b"Helvetica-Bold", b"Helvetica-Oblique", b"Helvetica-BoldOblique", b"Times-Roman", b"Times-Bold", b"Times-Italic", b"Times-BoldItalic", b"Courier", b"Courier-Bold", b"Courier-Oblique", b"Courier-BoldOblique"}
-#: Names of glyphs that are neither one character nor spelt by their code point. The full
-#: public glyph list is not available here; these are ASCII, Latin-1, ligatures, punctuation and Greek.
-GLYPHS = {
-    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/",
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@",
-    "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~",
-    "exclamdown": "¡", "cent": "¢", "sterling": "£", "currency": "¤", "yen": "¥", "brokenbar": "¦", "section": "§", "dieresis": "¨", "copyright": "©", "ordfeminine": "ª", "guillemotleft": "«", "logicalnot": "¬", "registered": "®", "macron": "¯", "degree": "°", "plusminus": "±", "acute": "´", "mu": "µ", "paragraph": "¶", "periodcentered": "·", "cedilla": "¸", "ordmasculine": "º", "guillemotright": "»", "onequarter": "¼", "onehalf": "½", "threequarters": "¾", "questiondown": "¿",
-    "AE": "Æ", "Eth": "Ð", "Oslash": "Ø", "Thorn": "Þ", "germandbls": "ß", "ae": "æ", "eth": "ð", "oslash": "ø", "thorn": "þ", "multiply": "×", "divide": "÷", "OE": "Œ", "oe": "œ", "Lslash": "Ł", "lslash": "ł", "dotlessi": "ı", "florin": "ƒ", "Euro": "€",
-    "quoteleft": "‘", "quoteright": "’", "quotesinglbase": "‚", "quotedblleft": "“", "quotedblright": "”", "quotedblbase": "„", "guilsinglleft": "‹", "guilsinglright": "›", "endash": "–", "emdash": "—", "ellipsis": "…", "bullet": "•", "dagger": "†", "daggerdbl": "‡", "perthousand": "‰", "trademark": "™", "minus": "−", "fraction": "⁄", "circumflex": "ˆ", "tilde": "˜", "breve": "˘", "caron": "ˇ", "dotaccent": "˙", "ring": "˚", "ogonek": "˛", "hungarumlaut": "˝",
-    "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ", "Delta": "∆", "Omega": "Ω", "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "lambda": "λ", "pi": "π", "sigma": "σ", "omega": "ω", "infinity": "∞", "notequal": "≠", "lessequal": "≤", "greaterequal": "≥", "summation": "∑", "product": "∏", "radical": "√", "integral": "∫", "partialdiff": "∂", "approxequal": "≈",
-}
-#: Accents whose letters are named letter + accent.
-_ACCENTS = {"grave": "̀", "acute": "́", "circumflex": "̂", "tilde": "̃", "dieresis": "̈", "ring": "̊", "cedilla": "̧", "caron": "̌", "macron": "̄", "breve": "̆", "ogonek": "̨", "dotaccent": "̇", "hungarumlaut": "̋"}
 REPLACEMENT = "�"
 ENTRIES, SPACES = 65_536, 256
 
 
-def glyph_text(name: str) -> str | None:
-    """Text of a glyph name, if it is known or spells its code point."""
-    import unicodedata
-
-    if len(name) == 1 and name.isprintable():
-        return name
-    if name in GLYPHS:
-        return GLYPHS[name]
-    if name[:1].isascii() and name[:1].isalpha() and name[1:] in _ACCENTS:
-        one = unicodedata.normalize("NFC", name[0] + _ACCENTS[name[1:]])
-        if len(one) == 1:
-            return one
-    if m := re.fullmatch(r"uni([0-9A-F]{4})|u([0-9A-F]{4,6})", name):
-        point = int(m.group(1) or m.group(2), 16)
-        if point <= 0x10FFFF and not 0xD800 <= point < 0xE000:
-            return chr(point)
-    return None
-
-
 def simple_encoding(base: bytes | None, subtype: bytes, base_font: bytes, has_encoding: bool) -> dict[int, str] | None:
     """Code -> text of a simple font before its differences."""
     table = None
@@ -238,7 +206,7 @@ class UnicodeMaps:
         return self.known[stream.span]
 
 
-def load_font(doc, o: Obj, index: int, layout: bool, full: bool, maps: UnicodeMaps) -> Font:
+def load_font(doc, o: Obj, index: int, layout: bool, full: bool, maps: UnicodeMaps, glyphs: dict[str, str] | None = None) -> Font:
     """Read a font dictionary. layout asks for widths, full for its embedded program."""
     get, d = doc.direct, doc.mapping(o, "font")
     f = Font(index, o.span)
@@ -256,7 +224,7 @@ def load_font(doc, o: Obj, index: int, layout: bool, full: bool, maps: UnicodeMa
             base, diffs = doc.name(encoding.value, b"BaseEncoding") or None, get(encoding.value.get(b"Differences"))
         f.table = simple_encoding(base, f.subtype, f.base_font, base is not None)
         if diffs is not None:
-            _differences(doc, diffs, f)
+            _differences(doc, diffs, f, glyphs)
     return f
 
 
@@ -293,7 +261,7 @@ def _metrics(doc, d: Dictionary, encoding: Obj | None, f: Font, full: bool) -> N
             f.default, f.default_known = number(missing), True
 
 
-def _differences(doc, diffs: Obj, f: Font) -> None:
+def _differences(doc, diffs: Obj, f: Font, glyphs: dict[str, str] | None) -> None:
     if diffs.kind != "array":
         raise PdfError("Differences is not an array", diffs.start)
     code = -1
@@ -305,7 +273,7 @@ def _differences(doc, diffs: Obj, f: Font) -> None:
             continue
         if x.kind != "name" or not 0 <= code <= 255:
             raise PdfError("malformed Differences", x.start)
-        text = glyph_text(x.value.decode("latin-1"))
+        text = glyph_text(x.value.decode("latin-1"), glyphs)
         f.table = f.table if f.table is not None else {}
         if text is None:
             f.table.pop(code, None)

@@ -247,7 +247,7 @@ class Interpretation:
     def font(self, o: Obj, page: Page) -> Font:
         target = self.doc.resolve(o)
         if target.span not in self.fonts:
-            f = load_font(self.doc, target, len(self.fonts), self.positions, self.full, self.maps)
+            f = load_font(self.doc, target, len(self.fonts), self.positions, self.full, self.maps, self.options.glyphs)
             if o.kind == "reference":
                 f.num, f.gen = o.value
             self.fonts[target.span] = f

@@ -43,6 +43,8 @@ class ParseOptions:
     content: int = TEXT
     detail: int = BASIC
     limits: Limits = Limits()
+    #: Texts of glyph names beyond the built-in ones (kernel.glyphs.read_glyph_list).
+    glyphs: dict[str, str] | None = None
 
     def checked(self) -> "ParseOptions":
         """Options with defaults filled in; raises ValueError before any input is touched."""
@@ -61,4 +63,4 @@ class ParseOptions:
             raise ValueError(f"unknown content kinds: {content!r}")
         if detail not in (BASIC, LAYOUT, FULL):
             raise ValueError(f"unknown detail level: {detail!r}")
-        return ParseOptions(content, detail, self.limits.checked())
+        return ParseOptions(content, detail, self.limits.checked(), self.glyphs)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema
-from ..options import ParseOptions
+from ..options import Limits, ParseOptions
 
 #: Pages, and elements on them, sent back to the JVM at once (a page with more goes alone).
 PAGES, ELEMENTS = 64, 4096
@@ -19,10 +19,9 @@ PAGES, ELEMENTS = 64, 4096
 PATTERN = "*.[pP][dD][fF]"
 
 
-def options_of(content=0, detail=0, limits=None) -> ParseOptions:
+def options_of(content=0, detail=0, limits=None, glyphs=None) -> ParseOptions:
     """Checked options; raises before anything is read."""
-    given = ParseOptions(content, detail) if limits is None else ParseOptions(content, detail, limits)
-    return given.checked()
+    return ParseOptions(content, detail, limits or Limits(), glyphs).checked()
 
 
 def _kernel(df: DataFrame, id_col: str, content_col: str, body: str, options: ParseOptions, make) -> DataFrame:
@@ -95,9 +94,9 @@ def files(spark: SparkSession, path, options: ParseOptions, stream: bool = False
     return found.select("path", F.when(F.col("length") <= options.limits.max_file_bytes, F.col("content")).alias("content"))
 
 
-def parse(df: DataFrame, content=0, detail=0, limits=None, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """Parsed rows of a binary column: per document one row with page = -1 and `file`, and one per page."""
-    return _kernel(df, id_col, content_col, schema.PARSED, options_of(content, detail, limits), _pages)
+def parse(df: DataFrame, content=0, detail=0, limits=None, id_col: str = "doc_id", content_col: str = "content", glyphs: dict[str, str] | None = None) -> DataFrame:
+    """Parsed rows of a binary column: per document one row with page = -1 and `file`, and one per page. glyphs: texts of further glyph names."""
+    return _kernel(df, id_col, content_col, schema.PARSED, options_of(content, detail, limits, glyphs), _pages)
 
 
 def parse_files(spark: SparkSession, path, content=0, detail=0, limits=None, pattern: str = PATTERN) -> DataFrame:

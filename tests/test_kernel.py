@@ -5,7 +5,8 @@ import pytest
 from quire.kernel import filters
 from quire.kernel.document import Document
 from quire.kernel.errors import LimitError, PdfError, UnsupportedError
-from quire.kernel.fonts import glyph_text, parse_cmap
+from quire.kernel.fonts import parse_cmap
+from quire.kernel.glyphs import glyph_text, read_glyph_list
 from quire.kernel.rows import interpret, structure
 from quire.kernel.syntax import Obj
 from quire.options import ALL, ANNOTATIONS, FULL, GRAPHICS, LAYOUT, TEXT, Limits, ParseOptions
@@ -53,6 +54,23 @@ def test_glyph_names(name, text):
     assert glyph_text(name) == text
 
 
+@pytest.mark.parametrize(
+    "name, text",
+    [("Abreveacute", "Ắ"), ("Alpha", "Α"), ("lambda", "λ"), ("omegatonos", "ώ"), ("iotadieresistonos", "ΐ"), ("zhecyrillic", "ж"), ("Zhecyrillic", "Ж"), ("alefhebrew", "א"), ("asmallhiragana", "ぁ"), ("kakatakana", "カ"), ("onesuperior", "¹"), ("twoinferior", "₂"), ("threecircle", "③"), ("fourarabic", "٤"),
+     ("Amonospace", "Ａ"), ("Scommaaccent", "Ș"), ("kcommaaccent", "ķ"), ("uni00410042", "AB"), ("uniD800", None), ("uni0041004", None), ("u110000", None), ("g42", None), ("foocyrillic", None)],
+)
+def test_glyph_names_by_rule(name, text):
+    assert glyph_text(name) == text
+
+
+def test_glyph_list_is_an_option():
+    listed = read_glyph_list("# a list\nodd;00C1 # one\nwide;D835 DD04\nbad;XYZ\nempty;\nbig;12345\n")
+    assert listed == {"odd": "Á", "wide": "𝔄"}
+    pdf = w.pages([b"BT /F 1 Tf <01> Tj ET"], font=b"<</Subtype/Type1/BaseFont/Courier/Encoding<</Differences[1/odd]>>>>")
+    text = lambda glyphs: interpret(pdf, ParseOptions(TEXT, 0, Limits(), glyphs).checked())["pages"][0]["texts"][0]["unicode"]
+    assert (text(None), text(listed)) == ("\ufffd", "Á")
+
+
 def text_of(content, font, **more):
     return [(t["unicode"], t["decode_complete"]) for t in page(content, font=font, **more)["texts"]]
 
