@@ -93,7 +93,7 @@ class PrefixBpe:
         """Whether BPE leaves the border between these two tokens unmerged when it builds both."""
         key = left, right
         if (found := self.beside.get(key)) is None:
-            if len(self.beside) > 8 * CACHE:
+            if len(self.beside) > 4 * CACHE:
                 self.beside.clear()
             found = self.beside[key] = self._border_holds(left, right)
         return found
