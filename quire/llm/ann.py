@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Bound of the sample the pivots are taken from; rows of a block; queries that meet it at once.
-SAMPLE, PIVOTS, PREFIX = 4096, 256, 128
+SAMPLE, PIVOTS, PREFIX = 4096, 256, 96
 BLOCK, QUERIES = 16_384, 65_536
 #: Of n distinct vectors in a block, ROOT * sqrt(n) are reranked.
 ROOT = 8.0
