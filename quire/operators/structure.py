@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,6 +48,11 @@ class Structure:
         newest = F.row_number().over(Window.partitionBy("doc_id", "num").orderBy("section"))
         return self.records().withColumn("_n", newest).filter("_n = 1").drop("_n")
 
+    def region_counts(self, *kinds: str) -> DataFrame:
+        """doc_id, n: how many regions of these kinds each file has that has any, counted in its row."""
+        n = F.size(F.filter("regions", lambda r: r["kind"].isin(*kinds))).alias("n")
+        return self.rows.select("doc_id", n).filter("n > 0")
+
     def gaps(self, claimed: DataFrame, length: DataFrame) -> DataFrame:
         """Unknown intervals between claimed, disjoint ones (doc_id, start, end) of files (doc_id, length)."""
         order = Window.partitionBy("doc_id").orderBy("start")
@@ -55,43 +60,69 @@ class Structure:
         first = length.join(claimed.groupBy("doc_id").agg(F.min("start").alias("_s")), "doc_id", "left").select("doc_id", F.lit(0).cast("bigint").alias("start"), F.coalesce("_s", "length").alias("end"))
         return first.union(after).filter("start < end")
 
-    def resolve(self, references: DataFrame, strict: bool = False) -> DataFrame:
-        """References (doc_id, ref_num, ref_gen) with their object's root node; none, and an error if strict, where undefined."""
-        xref = self.resolved_xref().select("doc_id", F.col("num").alias("ref_num"), "entry_type", F.when(F.col("entry_type") == "in_use", F.col("field_b")).otherwise(0).cast("int").alias("_gen"))
-        roots = self.nodes().filter("parent_id IS NULL").select("doc_id", F.col("num").alias("ref_num"), F.col("kind"), "lexeme", "bytes", F.col("ref_num").alias("next_num"), F.col("ref_gen").alias("next_gen"))
-        found = references.join(xref, ["doc_id", "ref_num"], "left").join(roots, ["doc_id", "ref_num"], "left")
-        usable = F.col("entry_type").isin("in_use", "compressed") & (F.col("_gen") == F.col("ref_gen"))
-        keep = [F.when(usable, F.col(c)).alias(c) for c in ("kind", "lexeme", "bytes", "next_num", "next_gen")]
-        out = found.select(*references.columns, *keep, *([F.when(F.col("entry_type").isNull(), "absent").when(F.col("entry_type") == "free", "free").when(F.col("entry_type") == "unknown", "unknown entry").when(~usable, "generation mismatch").alias("error")] if strict else []))
-        return out if strict else out.withColumn("kind", F.coalesce("kind", F.lit("null")))
-
-    def chains(self, references: DataFrame, depth: int = 256) -> DataFrame:
-        """References (doc_id, ref_num, ref_gen) followed to the end: hops, kind, lexeme, error (cycle or limit).
-
-        A chain never leaves its document, so each document's references meet its row of objects in one join and are
-        followed there: no step is a join, and nothing but a document's own size bounds a row.
+    def _beside(self, references: DataFrame | Column) -> DataFrame:
+        """doc_id, asked (array of references), roots, records: each document's references in its row.
+
+        References are a table (doc_id, ref_num, ref_gen, any others), gathered by document and met in one join, or a
+        column of the structure's rows (array of structs), for which nothing is moved.
         """
         root = F.filter("nodes", lambda n: n["parent_id"].isNull())
-        roots = F.transform(root, lambda n: F.struct(*(n[c].alias(c) for c in ("num", "gen", "kind", "lexeme", "ref_num", "ref_gen"))))
+        roots = F.transform(root, lambda n: F.struct(*(n[c].alias(c) for c in ("num", "gen", "kind", "lexeme", "bytes", "ref_num", "ref_gen"))))
         records = F.transform("records", lambda r: F.struct(*(r[c].alias(c) for c in ("section", "num", "entry_type", "field_b"))))
-        objects = self.rows.select("doc_id", roots.alias("roots"), records.alias("records"))
-        asked = references.groupBy("doc_id").agg(F.collect_set(F.struct("ref_num", "ref_gen")).alias("asked"))
-        kind = references.schema["doc_id"].dataType.simpleString()
+        given = [roots.alias("roots"), records.alias("records")]
+        if isinstance(references, Column):
+            return self.rows.select("doc_id", references.alias("asked"), *given)
+        rest = [c for c in references.columns if c != "doc_id"]
+        listed = references.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("asked"))
+        # what is parsed is estimated as no larger than what was scanned for it: without the hint it would be broadcast
+        return listed.join(self.rows.select("doc_id", *given).hint("merge"), "doc_id", "left").select("doc_id", "asked", "roots", "records")
+
+    def resolve(self, references: DataFrame | Column, strict: bool = False) -> DataFrame:
+        """References (doc_id, ref_num, ref_gen; or an array of them in each row) with their object's root node; none, and an error if strict, where undefined.
+
+        A reference never leaves its document: each document's are looked up in its row, and nodes and records are
+        not dealt out by object.
+        """
+        beside = self._beside(references)
+        found = T.StructType.fromDDL("found array<struct<kind:string,lexeme:string,bytes:binary,next_num:bigint,next_gen:int,error:string>>")
+        out, arrow = T.StructType([*beside.schema.fields[:2], *found.fields]), to_arrow_schema(found).field(0).type
+
+        def run(batches):
+            for batch in batches:
+                for part in _parts(batch):
+                    known = zip(*(part.column(c).to_pylist() for c in ("asked", "roots", "records")))
+                    rows = [_looked_up(asked or [], roots or [], _in_force(records)) for asked, roots, records in known]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, arrow)], ["doc_id", "asked", "found"])
+
+        each = beside.mapInArrow(run, out).select("doc_id", F.explode(F.arrays_zip("asked", "found")).alias("x")).select("doc_id", "x.asked.*", "x.found.*")
+        own = [f.name for f in beside.schema["asked"].dataType.elementType.fields]
+        columns = ["doc_id", *own] if isinstance(references, Column) else references.columns
+        keep = ["kind", "lexeme", "bytes", "next_num", "next_gen"]
+        return each.select(*columns, *keep, "error") if strict else each.select(*columns, F.coalesce("kind", F.lit("null")).alias("kind"), *keep[1:])
+
+    def chains(self, references: DataFrame | Column, depth: int = 256) -> DataFrame:
+        """References (doc_id, ref_num, ref_gen; or an array of them in each row) followed to the end: hops, kind, lexeme, error (cycle or limit).
+
+        A chain never leaves its document, so each document's references meet its row of objects in one join at most
+        and are followed there: no step is a join, and nothing but a document's own size bounds a row.
+        """
+        beside = self._beside(references).withColumn("asked", F.array_distinct(F.transform("asked", lambda r: F.struct(r["ref_num"].alias("ref_num"), r["ref_gen"].alias("ref_gen")))))
+        kind = beside.schema["doc_id"].dataType.simpleString()
         out = f"doc_id {kind}, first_num bigint, first_gen int, hops int, kind string, lexeme string, error string"
         arrow = to_arrow_schema(T.StructType.fromDDL(out))
 
         def run(batches):
             for batch in batches:
-                for row in batch.to_pylist():
-                    force: dict[int, dict] = {}
-                    for r in sorted(row["records"] or [], key=lambda r: r["section"]):
-                        force.setdefault(r["num"], r)
-                    at = {(o["num"], o["gen"]): o for o in row["roots"] or [] if _usable(force.get(o["num"]), o["gen"])}
-                    found = [(r["ref_num"], r["ref_gen"]) for r in row["asked"]]
-                    rows = [{"doc_id": row["doc_id"], "first_num": f[0], "first_gen": f[1]} | _follow(at, f, depth) for f in found]
+                for part in _parts(batch):
+                    rows = []
+                    for row in part.to_pylist():
+                        force = _in_force(row["records"])
+                        at = {(o["num"], o["gen"]): o for o in row["roots"] or [] if _usable(force.get(o["num"]), o["gen"])}
+                        found = [(r["ref_num"], r["ref_gen"]) for r in row["asked"] or []]
+                        rows += [{"doc_id": row["doc_id"], "first_num": f[0], "first_gen": f[1]} | _follow(at, f, depth) for f in found]
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-        return asked.join(objects, "doc_id", "left").select("doc_id", "asked", "roots", "records").mapInArrow(run, out)
+        return beside.mapInArrow(run, out)
 
     def page_tree(self, depth: int = 128) -> DataFrame:
         """doc_id, page, num, gen and inherited attributes of each page, from the objects' nodes alone.
@@ -106,12 +137,13 @@ class Structure:
 
         def run(batches):
             for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    found = [{"doc_id": row["doc_id"]} | p for p in Tree(row["nodes"] or [], row["trailer"] or []).pages(depth)]
+                for part in _parts(batch):
+                    found = [{"doc_id": row["doc_id"]} | p for row in part.to_pylist() for p in Tree(row["nodes"] or [], row["trailer"] or []).pages(depth)]
                     yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
-        return self.rows.select("doc_id", "nodes", "trailer").mapInArrow(run, out)
+        read = ("num", "gen", "node_id", "parent_id", "ord", "dict_key", "kind", "lexeme", "bytes", "ref_num", "ref_gen")
+        nodes = F.transform("nodes", lambda n: F.struct(*(n[c].alias(c) for c in read)))
+        return self.rows.select("doc_id", nodes.alias("nodes"), "trailer").mapInArrow(run, out)
 
     def duplicate_keys(self) -> DataFrame:
         """Dictionaries with a key that stands twice."""
@@ -124,6 +156,36 @@ class Structure:
         return self.objects().filter("origin != 'error'").join(used, ["doc_id", "num"], "left_anti")
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 256, size: int = 4 << 20):
+    """Slices of a batch that are small as Python objects too: few rows, fewer if rows are large."""
+    step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
+def _in_force(records: list[dict] | None) -> dict[int, dict]:
+    """The record in force for each object number: the one of the newest section that has it."""
+    force: dict[int, dict] = {}
+    for r in sorted(records or [], key=lambda r: r["section"]):
+        force.setdefault(r["num"], r)
+    return force
+
+
+def _looked_up(asked: list[dict], roots: list[dict], force: dict[int, dict]) -> list[dict]:
+    """For each reference its object's root, or why there is none."""
+    root, out = {o["num"]: o for o in roots}, []
+    for r in asked:
+        num, gen = r["ref_num"], r["ref_gen"]
+        entry = force.get(num)
+        kind = None if entry is None else entry["entry_type"]
+        o, error = None, {None: "absent", "free": "free", "unknown": "unknown entry"}.get(kind)
+        if error is None and gen is not None:
+            o, error = (root.get(num), None) if _usable(entry, gen) else (None, "generation mismatch")
+        same = {"next_num": o["ref_num"], "next_gen": o["ref_gen"]} | {c: o[c] for c in ("kind", "lexeme", "bytes")} if o else dict.fromkeys(("kind", "lexeme", "bytes", "next_num", "next_gen"))
+        out.append(same | {"error": error})
+    return out
+
+
 def _usable(record: dict | None, gen: int) -> bool:
     """Whether the cross-reference record in force leads to an object of this generation."""
     return record is not None and record["entry_type"] in ("in_use", "compressed") and gen == (record["field_b"] if record["entry_type"] == "in_use" else 0)
