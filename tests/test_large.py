@@ -58,3 +58,46 @@ def test_calls_a_document():
     assert _calls(lambda: interpret(drawn, ParseOptions(GRAPHICS, LAYOUT).checked())) < 2300
     tree = w.build([CATALOG[0], b"<</Type/Pages/MediaBox[0 0 9 9]/Resources<<>>/CropBox 5 0 R/Kids 4 0 R>>", b"<</Type/Page/UserUnit 6 0 R>>", b"[3 0 R]", b"[0 0 2 1]", b"2.5"])
     assert _calls(lambda: structure(tree, ParseOptions().checked())) < 1150
+
+
+def test_lines_inside_pages_equal_those_of_a_glyph_table(spark):
+    """Shuffled, overlapping, turned and spaced texts, at both ends of a page; no shuffle of glyphs."""
+    from quire.operators.elements import Parsed, layout
+    from quire.options import FULL, TEXT
+    from quire.sources.reader import parse
+
+    turned = b"BT /F 10 Tf (late) Tj 0 1 -1 0 50 50 Tm (up) Tj 1 0 0 1 0 20 Tm ( a  b ) Tj 1 0 0 1 0 20 Tm (over) Tj 1 0 0 1 90 20.4 Tm (far) Tj 1 0 0 1 -30 20 Tm () Tj (x) Tj ET"
+    docs = spark.createDataFrame([(1, w.pages([turned, b"", b"BT /F 1 Tf ( ) Tj 9 0 Td (y) Tj ET"])), (2, w.pages([b"0 0 1 1 re f"])), (3, b"junk")], "doc_id long, content binary")
+    p = Parsed(parse(docs, TEXT, FULL))
+    lines = p.layout()
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, layout(p.glyphs()).select("doc_id", "page", "y", "line").collect()))
+    assert lines.columns == ["doc_id", "page", "y", "line"] and lines.count() > 4
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert Parsed(parse(docs, TEXT)).layout().count() == 0
+
+
+def test_documents_go_without_the_collector():
+    import gc
+    import weakref
+
+    from quire.kernel import rows
+    from quire.kernel.document import Document
+
+    seen = []
+
+    class Watched(Document):
+        def __init__(self, *a):
+            super().__init__(*a)
+            seen.append(weakref.ref(self))
+
+    gc.disable()
+    keep, rows.Document = rows.Document, Watched
+    try:
+        for pdf in (w.pages([b"BT /F 9 Tf (a) Tj ET"]), w.pages([b"q Q Q"]), b"junk"):
+            rows.interpret(pdf, ParseOptions(15, 2).checked())
+            rows.structure(pdf, ParseOptions().checked())
+    finally:
+        rows.Document = keep
+        gc.enable()
+    assert len(seen) == 6 and not any(x() for x in seen)
