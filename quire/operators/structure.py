@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .. import schema
 from ..options import Limits, ParseOptions
 
 
@@ -127,18 +126,21 @@ class Structure:
     def page_tree(self, depth: int = 128) -> DataFrame:
         """doc_id, page, num, gen and inherited attributes of each page, from the objects' nodes alone.
 
-        Each document's row is walked where it lies: no shuffle. media_box and crop_box are as written; resources is
+        Each document's row is walked where it lies: no shuffle (parse_page_tree() gives the same rows from the files,
+        without a structure between). media_box and crop_box are as written; resources is
         the number of the object that holds the dictionary in force (null if there is none). A tree that is too deep,
         leads back to itself or is malformed gives one row with `error` after the pages before it.
         """
         kind = self.rows.schema["doc_id"].dataType.simpleString()
-        out = f"doc_id {kind}, page int, num bigint, gen int, rotate int, media_box array<double>, crop_box array<double>, user_unit double, resources bigint, error string"
+        out = f"doc_id {kind}, {schema.TREE}"
         arrow = to_arrow_schema(T.StructType.fromDDL(out))
 
         def run(batches):
+            from ..kernel.tree import of_rows
+
             for batch in batches:
                 for part in _parts(batch):
-                    found = [{"doc_id": row["doc_id"]} | p for row in part.to_pylist() for p in Tree(row["nodes"] or [], row["trailer"] or []).pages(depth)]
+                    found = [{"doc_id": row["doc_id"]} | p for row in part.to_pylist() for p in of_rows(row["nodes"] or [], row["trailer"] or []).pages(depth)]
                     yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
         read = ("num", "gen", "node_id", "parent_id", "ord", "dict_key", "kind", "lexeme", "bytes", "ref_num", "ref_gen")
@@ -211,88 +213,6 @@ def _follow(objects: dict, first: tuple, depth: int) -> dict:
     return {"hops": hops, "kind": None if over else kind, "lexeme": None if over else lexeme, "error": "limit" if over else None}
 
 
-class Tree:
-    """The page tree of one document, out of the node rows of its objects."""
-
-    INHERITED = ("MediaBox", "CropBox", "Rotate", "Resources")
-
-    def __init__(self, nodes: list[dict], trailer: list[dict]):
-        self.below: dict[tuple, list[dict]] = {}
-        self.roots: dict[tuple, dict] = {}
-        for n in nodes:
-            if n["parent_id"] is None:
-                self.roots[n["num"], n["gen"]] = n
-            else:
-                self.below.setdefault((n["num"], n["parent_id"]), []).append(n)
-        self.top = next((n for n in trailer if n["depth"] == 1 and n["dict_key"] == "Root"), None)
-
-    def value(self, node: dict | None, hops: int = 256) -> dict | None:
-        """The node a reference leads to; None where it is undefined or null."""
-        while node is not None and node["kind"] == "reference":
-            if not hops:
-                raise ValueError("reference depth limit exceeded")
-            node, hops = self.roots.get((node["ref_num"], node["ref_gen"])), hops - 1
-        return None if node is None or node["kind"] == "null" else node
-
-    def entries(self, node: dict) -> dict[str, dict]:
-        found: dict[str, dict] = {}
-        for n in self.below.get((node["num"], node["node_id"]), []):
-            if n["dict_key"] in found:
-                raise ValueError(f"duplicate key /{n['dict_key']}")
-            found[n["dict_key"]] = n
-        return found
-
-    def items(self, node: dict | None) -> list[dict]:
-        if node is None or node["kind"] != "array":
-            raise ValueError("expected an array")
-        return sorted(self.below.get((node["num"], node["node_id"]), []), key=lambda n: n["ord"])
-
-    def numbers(self, node: dict | None) -> list[float]:
-        found = [self.value(n) for n in self.items(node)]
-        if any(n is None or n["kind"] not in ("integer", "real") for n in found):
-            raise ValueError("expected numbers")
-        return [float(n["lexeme"]) for n in found]
-
-    def pages(self, depth: int):
-        """Rows of the pages in order, and a last one with an error if the walk could not end."""
-        count = 0
-        try:
-            root = self.value(self.top)
-            todo = [(self.entries(root).get("Pages") if root else None, {}, ())]
-            while todo:
-                ref, above, path = todo.pop()
-                node = self.value(ref)
-                if node is None or node["kind"] not in ("dictionary", "stream"):
-                    raise ValueError("page tree node is not a dictionary")
-                me = (node["num"], node["gen"], node["node_id"])
-                if len(path) >= depth:
-                    raise ValueError("page tree depth limit exceeded")
-                if me in path:
-                    raise ValueError("page tree leads back to itself")
-                own = self.entries(node)
-                known = above | {k: (v, own[k]) for k in self.INHERITED if k in own and (v := self.value(own[k])) is not None}
-                kind = self.value(own.get("Type"))
-                kind = bytes(kind["bytes"]).decode("latin-1") if kind and kind["kind"] == "name" else None
-                if kind == "Pages":
-                    todo += [(k, known, (*path, me)) for k in reversed(self.items(self.value(own.get("Kids"))))]
-                    continue
-                if kind != "Page" or "MediaBox" not in known:
-                    raise ValueError("page without MediaBox" if kind == "Page" else "page tree node has an unknown type")
-                yield {"page": count} | self.page(ref, node, own, known)
-                count += 1
-        except ValueError as e:
-            yield {"page": count, "error": str(e)}
-
-    def page(self, ref: dict, node: dict, own: dict, known: dict) -> dict:
-        box = {k: self.numbers(known[k][0]) for k in ("MediaBox", "CropBox") if k in known}
-        turn = int(known["Rotate"][0]["lexeme"]) if "Rotate" in known else 0
-        unit, where = self.value(own.get("UserUnit")), known.get("Resources")
-        return {
-            "num": ref["ref_num"], "gen": ref["ref_gen"], "rotate": int(math.fmod(turn, 360)), "media_box": box["MediaBox"], "crop_box": box.get("CropBox", box["MediaBox"]),
-            "user_unit": float(unit["lexeme"]) if unit else 1.0, "resources": where[0]["num"] if where else None, "error": None,
-        }
-
-
 def bytes_of(spans: DataFrame, contents: DataFrame, content_col: str = "content") -> DataFrame:
     """Spans (doc_id, start, end and any other columns) of the file with their bytes.
 

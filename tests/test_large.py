@@ -101,3 +101,36 @@ def test_documents_go_without_the_collector():
         rows.Document = keep
         gc.enable()
     assert len(seen) == 6 and not any(x() for x in seen)
+
+
+def test_page_tree_of_files_equals_that_of_rows(spark):
+    """One step, nothing but pages' rows sent back, and only the objects on the way read; odd attributes are error rows in both."""
+    from quire.kernel import document
+    from quire.kernel.rows import page_tree
+    from quire.sources.reader import parse_page_tree
+
+    top = b"<</Type/Pages/MediaBox[0 0 9 9]/CropBox 5 0 R/Resources<<>>%s>>"
+    page = b"<</Type/Page/UserUnit 6 0 R%s>>"
+    rest = [b"[3 0 R]", b"[0 0 2 1]", b"2.5", b"(never asked for)"]
+    files = [w.build([CATALOG[0], top % kids, page % own, *rest]) for kids, own in (
+        (b"/Kids 4 0 R", b""), (b"/Kids[2 0 R]", b""), (b"/Kids[]/Kids[]", b""), (b"/Kids[3 0 R 9 0 R]", b""), (b"/Kids[<</Type/Page>> 3 0 R]", b"/Resources 3 0 R"),
+        (b"/Kids 4 0 R", b"/Rotate -450"), (b"/Kids 4 0 R", b"/Rotate/X"), (b"/Kids 4 0 R", b"/CropBox[0 0 8 0 R 1]"), (b"/Kids 4 0 R", b"/Type/Page"), (b"/Kids[3 0 R 3 0 R]", b""))]
+    files += [w.build_stream([CATALOG[0], b"(x)"], {3: b"<</Type/Page/MediaBox[0 0 1 1]>>", 2: b"<</Type/Pages/Kids[3 0 R]>>"}), w.build([b"[1 2]"]), b"junk", files[0][:-30], files[0] + b" ", None]
+    docs = spark.createDataFrame(list(enumerate(files)), "doc_id long, content binary")
+    found = parse_page_tree(docs)
+    rows = Structure(parse_structure(docs)).page_tree()
+    assert found.schema == rows.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.collect()))
+    assert {(r.page, r.error) for r in found.filter("doc_id = 6").collect()} == {(0, "expected a number")}
+    assert [(r.crop_box[2], r.user_unit, r.resources) for r in found.filter("doc_id = 0").collect()] == [(2.0, 2.5, 2)]
+    plan = queries()["page_tree_indirect"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Broadcast" not in plan
+
+    asked = []
+    keep, document.Document.load = document.Document.load, lambda self, num, gen=0: asked.append(num) or keep(self, num, gen)
+    try:
+        options = ParseOptions().checked()
+        assert len(page_tree(files[0], options, 128)) == 1 and set(asked) == {1, 2, 3, 4, 5, 6}
+    finally:
+        document.Document.load = keep
+    assert _calls(lambda: page_tree(files[0], options, 128)) < 650
