@@ -700,3 +700,19 @@ def test_neighbours_against_brute_force(spark):
     few = ann.neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id bigint, embedding array<float>")).collect()
     assert [(r.query_id, r.vec_id, r.score) for r in few] == [(0, 1, 0.0)]
     assert ann.neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_closing_punctuation_is_a_word_of_its_own():
+    """What fails without it: every "word!!" is asked of the library beside "word"; and cut texts encode as whole ones."""
+    import pyarrow as pa
+
+    t, (wide, _, special, pieces) = library(GPT), tokens._encoder(GPT)
+    keys = tokens._words(pa.array(["alpha beta!! alpha&&& béta?! alpha, béta"]), special, pieces).to_pylist()[0]
+    assert set(keys) == {"\ralpha", "\r&&&", "\r,", "\r?!", "\r!!", "alpha", "beta", "béta"}
+    assert tokens._bytes_of(pa.array(["", "aé", "b"]).slice(1)) == ["aé".encode(), b"b"] and tokens._bytes_of(pa.array([""])) == [b""]
+    rnd = random.Random(3)
+    bits = ["a", "été", "I'll", "it's", "x's'", "'s", "'", "!!", "&&&", "9", "9.5,", "×", "́", "_", "漢。", "ǅ;", "ɐ.", "\n", " ", ".", "~|", "«", "ⓐ!"]
+    texts = ["".join(rnd.choice(bits) + rnd.choice(["", " ", " ", "\n"]) for _ in range(rnd.randint(0, 12))) for _ in range(4000)]
+    out = tokens._encoded(pa.array(texts), tokens._encoder(GPT), 0).to_pylist()
+    for text, found in zip(texts, out):
+        assert np.frombuffer(found, wide).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], text
